@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, simhash, tokenfiles
+from millrace.llm import bpe, decontaminate, ranking, rules, simhash, tokenfiles
+from millrace.llm.labelled import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = rules.apply(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = ranking.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return ranking.apply(docs, model, at=0.7).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op7_quality_rules, op9_quality_ranking, op10_simhash)}
 ORACLES: dict[str, str] = {}
