@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, ranking, rules, simhash, tokenfiles
+from millrace.llm import bpe, decontaminate, ranking, rules, simhash, tokenfiles, toxicity
 from millrace.llm.labelled import remainder
 
 
@@ -26,6 +26,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    index = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return toxicity.apply(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = rules.apply(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -43,5 +50,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op7_quality_rules, op9_quality_ranking, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op5_toxicity, op7_quality_rules, op9_quality_ranking, op10_simhash)}
 ORACLES: dict[str, str] = {}
