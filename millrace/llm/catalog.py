@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, ranking, rules, simhash, tokenfiles, toxicity
+from millrace.llm import bpe, decontaminate, linededup, ranking, rules, secrets, simhash, tokenfiles, toxicity
 from millrace.llm.labelled import remainder
 
 
@@ -33,12 +33,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = rules.apply(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = ranking.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
@@ -50,5 +58,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op5_toxicity, op7_quality_rules, op9_quality_ranking, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash)}
+ORACLES: dict[str, str] = {"op8_line_dedup": linededup.SQL}
