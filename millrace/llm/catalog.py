@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, linededup, ranking, rules, secrets, simhash, tokenfiles, toxicity
+from millrace.llm import bpe, decontaminate, kneser_ney, linededup, ranking, rules, secrets, simhash, tokenfiles, toxicity
 from millrace.llm.labelled import remainder
 
 
@@ -22,6 +22,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.files_and_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    scored = kneser_ney.score(docs, model)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -58,5 +67,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_language_model, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash)}
 ORACLES: dict[str, str] = {"op8_line_dedup": linededup.SQL}
