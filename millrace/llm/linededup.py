@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import stored
+from millrace.llm.scratch import row_key, stored
 
 SITES, MIN_WORDS = 5, 3
 #: Sketches of 2 ** LG_K registers; three standard errors of the estimate near ``sites`` are below MARGIN * sites + 1.
@@ -40,14 +40,13 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """The rows of ``docs`` with boilerplate taken out of ``text``, and ``n_lines`` and ``n_removed`` added as ``__n_lines`` and ``__n_removed``."""
     # what is removed depends on the id and the text, so their hash is the key: never null, and equal rows share it
-    key = F.xxhash64(F.col(id).cast("string"), F.lit(0), F.col(text))
+    key = row_key(id, text)
     cut = docs.select(key.alias("key"), F.col(id).alias("id"), F.col(site).cast("string").alias("site"), F.explode(F.split(F.col(text), "\n")).alias("l"))
     lines = stored(cut.filter(_counts(F.col("l"), min_words)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
     spread = boilerplate(lines, sites)
     held = stored(lines.join(spread, "line", "left_semi").select("key", "id", "line").distinct(), "boilerplate")
     first = held.groupBy("line").agg(F.min("id").alias("first"))
     gone = held.join(first, "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("__gone"))
-    # two rows have one key only if their ids and texts are equal, or by a chance of 2 ** -64 for each pair
     joined = docs.withColumn("__key", key).join(gone.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     parts = F.split(F.col(text), "\n")
     left = F.filter(parts, lambda l: ~(F.array_contains(F.col("__gone"), F.xxhash64(l)) & _counts(l, min_words)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_key(id: str = "doc_id", text: str = "text") -> Column:
+    """A hash of id and text: never null, evenly spread, equal for equal rows.
+
+    Two rows that differ in either share it by a chance of 2 ** -64 for each pair of rows.
+    """
+    return F.xxhash64(F.col(id).cast("string"), F.lit(0), F.col(text))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.graph import components
-from millrace.llm.scratch import partitions, stored
+from millrace.llm.scratch import partitions, row_key, stored
 
 BITS = 64
 #: Buckets up to this size are compared in one matrix, larger ones by pieces of the rest of the fingerprint first.
@@ -66,14 +66,14 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of each row."""
+    """(doc_id, key, fingerprint as a signed long) of each row; key is the hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks.slices(batches, "text", 4 << 20):
-            prints = fingerprints_of(batch.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fingerprint"])
+            prints = fingerprints_of(batch.column(2), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, fingerprint long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -168,12 +168,26 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return keyed.repartition(n, "segment", "wildcard", "rest").sortWithinPartitions("segment", "wildcard", "rest", "fingerprint").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
+def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, key, fingerprint) of each row, (fingerprint, component, component_id) of each distinct fingerprint)."""
     every = stored(fingerprints(docs, shingle), "prints")
     prints = every.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     labels = components(links(prints.select("fingerprint"), distance))
     named = prints.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "component").select("fingerprint", "component_id")
+    return every, named.join(least, "component").select("fingerprint", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
+    every, by_print = _grouped(docs, shingle, distance)
     return every.join(by_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest hash; null ids last."""
+    every, by_print = _grouped(docs, shingle, distance)
+    # first within each fingerprint, so that a group of copies is one row in the join
+    first = every.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    stay = first.join(by_print, "fingerprint").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    return docs.withColumn("__key", row_key()).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
