@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: How a null stands in CSV files.
+NULL = "\\N"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -28,12 +31,12 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; the schema is given, so nothing is read to guess it."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', emptyValue="")
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', nullValue=NULL)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, as a folder of part files; empty strings are quoted so that they differ from nulls."""
-    df.write.csv(path, header=True, escape='"', emptyValue='""')
+    """CSV with a header, as a folder of part files; nulls are written as NULL, so that they differ from empty strings."""
+    df.write.csv(path, header=True, escape='"', nullValue=NULL, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def union_with_flag(parts: dict[object, DataFrame], flag: str, **fill: object) -> DataFrame:
