@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks
-from millrace.llm.scratch import row_key, stored
+from millrace.llm.scratch import packed, row_key, stored, unpacked
 
 INDEX = "block long, term binary, n int, postings binary, doc_ids array<bigint>, doc_words array<int>"
 _INDEX = pa.schema([("block", pa.int64()), ("term", pa.binary()), ("n", pa.int32()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int32()))])
@@ -321,5 +321,5 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the items occurs."""
     keyed = docs.select(row_key().alias("doc_id"), "text")
-    hit = contamination(stored_index(keyed), items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key()).join(stored(hit, "contaminated"), "__key", "left_anti").drop("__key")
+    hit = contamination(stored_index(keyed), items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("key")).distinct()
+    return unpacked(packed(docs).join(stored(hit, "contaminated"), "key", "left_anti"), docs.columns)

@@ -206,18 +206,17 @@ def train(docs: DataFrame) -> Model:
             if k:
                 keys.append(np.frombuffer(k, "<u8"))
                 counts.append(np.frombuffer(c, "<u4").astype(np.int64))
-            else:
+            elif c:
                 n_texts += int(np.frombuffer(c, "<u4")[0])
         keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
         put(f"{folder}/words-{s}", keys.astype("<u8"))
         put(f"{folder}/word-counts-{s}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)]), "tokens": pa.array([int(counts.sum())]), "texts": pa.array([n_texts])})
 
-    sizes = {r["shard"]: r for r in texts.mapInArrow(words, packed).groupBy("shard").applyInArrow(lambda t: merged_words(t), "shard int, n long, tokens long, texts long").collect()}
-    n_of = [sizes[s]["n"] if s in sizes else 0 for s in range(shards)]
-    for s in set(range(shards)) - set(sizes):
-        put(f"{folder}/words-{s}", np.zeros(0, "<u8"))
-        put(f"{folder}/word-counts-{s}", np.zeros(0, "<u4"))
+    # every shard gets a row, so that each writes its files
+    none = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+    sizes = {r["shard"]: r for r in texts.mapInArrow(words, packed).unionByName(none).groupBy("shard").applyInArrow(lambda t: merged_words(t), "shard int, n long, tokens long, texts long").collect()}
+    n_of = [sizes[s]["n"] for s in range(shards)]
     bases = tuple(int(x) for x in np.concatenate([[0], np.cumsum(n_of)]))
     n_texts, tokens = sum(r["texts"] for r in sizes.values()), sum(r["tokens"] for r in sizes.values())
     draft = Model(folder, shards, bases, n_texts, tokens + n_texts, ((), ()), 0, 1.0)
@@ -240,17 +239,18 @@ def train(docs: DataFrame) -> Model:
         keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
         put(f"{folder}/pairs-{s}", keys.astype("<u8"))
         put(f"{folder}/pair-counts-{s}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        out = [(0, None, None, [int((counts == k).sum()) for k in (1, 2, 3, 4)])]
+        if not len(keys):
+            return pa.Table.from_batches([_rows(out, sum_names, sum_types)])
         begins, ends = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], begins[1:] != begins[:-1]]))
         parts = [counts, counts == 1, counts == 2, counts >= 3]
         own = np.stack([*(np.add.reduceat(x.astype(np.int64), first) for x in parts), np.zeros(len(first), np.int64)], axis=1)
         last, times = np.unique(ends, return_counts=True)
         other = np.stack([*[np.zeros(len(last), np.int64)] * 4, times], axis=1)
-        out = []
         for numbers, rows in ((begins[first], own), (last, other)):
             where = np.clip(np.searchsorted(bases, numbers, side="right") - 1, 0, shards - 1)
             out += [(r, _packed(n), _packed(x.T.ravel()), None) for r, (n, x) in _dealt(where, shards, numbers, rows)]
-        out.append((0, None, None, [int((counts == k).sum()) for k in (1, 2, 3, 4)]))
         return pa.Table.from_batches([_rows(out, sum_names, sum_types)])
 
     def merged_contexts(table):
@@ -259,7 +259,7 @@ def train(docs: DataFrame) -> Model:
         held, tally = np.zeros((size, 5), np.int64), np.zeros(4, np.int64)
         for n, x, t in zip(*(table.column(k).to_pylist() for k in ("numbers", "sums", "tally"))):
             if t is not None:
-                tally += np.array(t)
+                tally += np.array(t, np.int64)
                 continue
             own = _unpacked(n).astype(np.int64) - bases[r]
             held[own] += _unpacked(x).astype(np.int64).reshape(5, -1).T  # the numbers of one row differ
@@ -267,10 +267,9 @@ def train(docs: DataFrame) -> Model:
         before = held[:, 4]
         return pa.table({"range": pa.array([r], pa.int32()), "pairs": pa.array([tally.tolist()], pa.list_(pa.int64())), "words": pa.array([[int((before == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())), "more": pa.array([int((before >= 3).sum())]), "all": pa.array([int(before.sum())])})
 
-    counted = texts.mapInArrow(pairs, packed).groupBy("shard").applyInArrow(lambda t: merged_pairs(t), sums)
-    found = counted.groupBy("range").applyInArrow(lambda t: merged_contexts(t), "range int, pairs array<bigint>, words array<bigint>, more long, all long").collect()
-    for r in set(range(shards)) - {x["range"] for x in found}:
-        put(f"{folder}/contexts-{r}", np.zeros(5 * (bases[r + 1] - bases[r] + (2 if r == shards - 1 else 0)), "<u8"))
+    counted = texts.mapInArrow(pairs, packed).unionByName(none).groupBy("shard").applyInArrow(lambda t: merged_pairs(t), sums)
+    no_sums = spark.range(shards).select(F.col("id").cast("int").alias("range"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("sums"), F.array_repeat(F.lit(0).cast("long"), 4).alias("tally"))
+    found = counted.unionByName(no_sums).groupBy("range").applyInArrow(lambda t: merged_contexts(t), "range int, pairs array<bigint>, words array<bigint>, more long, all long").collect()
     total = lambda k: [sum(x[k][i] for x in found) for i in range(4)]
     of_pairs, of_words = total("pairs"), total("words")
     d = _discounts(of_words)

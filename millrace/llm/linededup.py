@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import row_key, stored
+from millrace.llm.scratch import packed, row_key, stored, unpacked
 
 SITES, MIN_WORDS = 5, 3
 #: Sketches of 2 ** LG_K registers; three standard errors of the estimate near ``sites`` are below MARGIN * sites + 1.
@@ -37,22 +37,29 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return estimates.filter(F.col("n") > F.lit(high)).select("line").unionByName(exact.select("line"))
 
 
-def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """The rows of ``docs`` with boilerplate taken out of ``text``, and ``n_lines`` and ``n_removed`` added as ``__n_lines`` and ``__n_removed``."""
-    # what is removed depends on the id and the text, so their hash is the key: never null, and equal rows share it
-    key = row_key(id, text)
-    cut = docs.select(key.alias("key"), F.col(id).alias("id"), F.col(site).cast("string").alias("site"), F.explode(F.split(F.col(text), "\n")).alias("l"))
+def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, n_lines, left): each whole row of ``docs``, the number of its lines, and the lines that stay if any goes, else null.
+
+    What goes depends on a row's id and text alone, so rows meet what goes from them by the hash of both.
+    """
+    cut = docs.select(row_key().alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text"), "\n")).alias("l"))
     lines = stored(cut.filter(_counts(F.col("l"), min_words)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
-    spread = boilerplate(lines, sites)
-    held = stored(lines.join(spread, "line", "left_semi").select("key", "id", "line").distinct(), "boilerplate")
+    held = stored(lines.join(boilerplate(lines, sites), "line", "left_semi").select("key", "id", "line").distinct(), "boilerplate")
     first = held.groupBy("line").agg(F.min("id").alias("first"))
-    gone = held.join(first, "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("__gone"))
-    joined = docs.withColumn("__key", key).join(gone.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-    parts = F.split(F.col(text), "\n")
-    left = F.filter(parts, lambda l: ~(F.array_contains(F.col("__gone"), F.xxhash64(l)) & _counts(l, min_words)))
-    out = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), left)).withColumn("__n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("__n_removed", F.when(F.col("__left").isNull(), F.lit(0)).otherwise(F.col("__n_lines") - F.size("__left")).cast("long"))
-    return out.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n"))).select(*docs.columns, "__n_lines", "__n_removed")
+    gone = held.join(first, "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("gone"))
+    parts = F.split(F.col("row.text"), "\n")
+    left = F.filter(parts, lambda l: ~(F.array_contains(F.col("gone"), F.xxhash64(l)) & _counts(l, min_words)))
+    n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    return packed(docs).join(gone, "key", "left").select("row", n_lines.alias("n_lines"), F.when(F.col("gone").isNotNull(), left).alias("left"))
+
+
+def _text() -> Column:
+    return F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
+
+
+def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` with boilerplate taken out of ``text``; ``n_chars``, where it is, follows the text."""
+    return unpacked(marked(docs, sites, min_words), docs.columns, text=_text(), n_chars=F.when(F.col("left").isNull(), F.col("row")["n_chars"]).otherwise(F.length(_text())).cast("long") if "n_chars" in docs.columns else F.lit(None))
 
 
 #: The same in SQL, with exact counts for all lines.
@@ -69,5 +76,5 @@ FROM marked GROUP BY doc_id
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, text_sha256) of each document."""
-    done = remove(docs)
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    removed = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("left")).cast("long")
+    return marked(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", removed.alias("n_removed"), F.sha2(_text().cast("binary"), 256).alias("text_sha256"))

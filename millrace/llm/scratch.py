@@ -46,3 +46,13 @@ def row_key(id: str = "doc_id", text: str = "text") -> Column:
     Two rows that differ in either share it by a chance of 2 ** -64 for each pair of rows.
     """
     return F.xxhash64(F.col(id).cast("string"), F.lit(0), F.col(text))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, key): whole rows as one struct, so that no name of theirs meets a name that an operator uses, and their ``row_key``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of packed rows again, those in ``new`` replaced."""
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])

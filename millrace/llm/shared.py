@@ -37,8 +37,10 @@ def put(uri: str, array: np.ndarray) -> None:
         out.write(np.ascontiguousarray(array).tobytes())
     try:
         store.move(f"{path}{own[len(uri):]}", path)
-    except OSError:  # another attempt was first; it wrote the same
-        store.delete_file(f"{path}{own[len(uri):]}")
+    except OSError:
+        if store.get_file_info(path).type.name == "NotFound":
+            raise
+        store.delete_file(f"{path}{own[len(uri):]}")  # another attempt was first; it wrote the same
 
 
 @lru_cache(maxsize=100_000)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.graph import components
-from millrace.llm.scratch import partitions, row_key, stored
+from millrace.llm.scratch import packed, partitions, row_key, stored, unpacked
 
 BITS = 64
 #: Buckets up to this size are compared in one matrix, larger ones by pieces of the rest of the fingerprint first.
@@ -189,5 +189,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     every, by_print = _grouped(docs, shingle, distance)
     # first within each fingerprint, so that a group of copies is one row in the join
     first = every.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    stay = first.join(by_print, "fingerprint").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
-    return docs.withColumn("__key", row_key()).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stay = first.join(by_print, "fingerprint").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    return unpacked(packed(docs).join(stay, "key", "left_semi").dropDuplicates(["key"]), docs.columns)
