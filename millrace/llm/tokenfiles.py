@@ -9,7 +9,7 @@ A segment is a row of Parquet whose ``image`` column holds the bytes of one DAC
 writes to can hold the files, commits of lost tasks are undone by Spark, and readers prune by the segments' places.
 
 Defined cases: null and empty texts have no ids but the end id; null doc_ids come first; equal doc_ids are ordered by
-their ids' bytes; other columns are ignored; an empty table gives an empty file and no rows.
+text; other columns are ignored; an empty table gives an empty file and no rows.
 """
 
 from __future__ import annotations
@@ -29,36 +29,102 @@ from millrace.llm import blocks, dac
 from millrace.llm.scratch import new_path, partitions
 
 SEGMENTS = "part int, segment int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens long, image binary"
-#: Words whose ids a worker keeps from one block to the next.
+#: Word stems whose ids a worker keeps from one block to the next.
 _KEPT = 400_000
+#: ASCII punctuation but the apostrophe: after letters it always begins a token of its own.
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, {}
-
-
-def _ids_of_words(words: list[bytes], path: str) -> list[np.ndarray]:
-    tokenizer, kept = _tokenizer(path)
-    new = [w for w in words if w not in kept]
-    if len(kept) + len(new) > _KEPT:
-        kept.clear()
-        new = words
-    made = {}
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        coded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        made.update((w, np.array(c.ids, np.uint32)) for w, c in zip(part, coded))
-    out = [made[w] if w in made else kept[w] for w in words]
-    kept.update(list(made.items())[: max(0, _KEPT - len(kept))])
-    return out
+class _Tokenizer:
+    """A tokenizer of the library, the ids that were kept, and a shorter way for words of letters.
 
+    Most of the library's time goes into normalising texts and finding words in them.  For stems that are runs of Latin
+    letters both are known beforehand: they are put in small letters and byte symbols here, and the library's model gets
+    them with blanks between, to be cut at the blanks only.  The first stems go both ways; if any ids differ, the tokenizer
+    is of another kind and every word takes the long way.
+    """
 
-def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 8 << 20) -> DataFrame:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.short = Tokenizer(self.whole.model)
+        self.short.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, k in self.whole.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.kept: dict[str, bytes] = {}
+        self.fits: bool | None = None
+        # the symbols of byte-level vocabularies: printable bytes stand for themselves, the rest follow from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in shown]
+        symbol = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.symbols = {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+    def alone(self, stems: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(stems), 20_000):
+            part = stems[at : at + 20_000]
+            out.update((s, np.array(c.ids, "<u4").tobytes()) for s, c in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)))
+        return out
+
+    def together(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of plain stems, many to a text, told apart by the ids that end a word."""
+        out, odd = {}, []
+        for at in range(0, len(stems), 50_000):
+            groups = [stems[k : k + 500] for k in range(at, min(at + 50_000, len(stems)), 500)]
+            for group, coded in zip(groups, self.short.encode_batch_fast([" ".join(g).lower().translate(self.symbols) for g in groups], add_special_tokens=False)):
+                ids = np.array(coded.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(group) or cuts[-1] != len(ids):
+                    odd += group
+                    continue
+                data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                out.update(zip(group, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        return out | self.alone(odd)
+
+    def ids(self, plain: list[str], other: list[str]) -> dict[str, bytes]:
+        """The ids of each stem, as 32-bit integers."""
+        if self.fits is None and plain:
+            self.fits = self.together(plain[:500]) == self.alone(plain[:500])
+        return self.together(plain) | self.alone(other) if self.fits else self.alone(plain + other)
+
+
+_tokenizer = lru_cache(maxsize=1)(_Tokenizer)
+
+
+def _plain(stem: str) -> bool:
+    """One run of letters before and after normalisation: Latin letters without combining marks."""
+    return stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and stem.lower().isalpha()))
+
+
+def _ids_of_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each).  A run of letters and the punctuation after it are looked up apart."""
+    tokenizer = _tokenizer(path)
+    kept, parts, plain, other = tokenizer.kept, [], set(), set()
+    for word in words:
+        text = word.decode()
+        stem = text.rstrip(_TAIL)
+        if _plain(stem):
+            tail, stem = text[len(stem) :], stem.lower()
+            parts.append((stem, tail))
+            if stem not in kept:
+                plain.add(stem)
+            if tail and tail not in kept:
+                other.add(tail)
+        else:
+            parts.append((text, ""))
+            if text not in kept:
+                other.add(text)
+    new = tokenizer.ids(list(plain), list(other))
+    find = lambda x: new[x] if x in new else kept[x]
+    lists = [find(a) + find(b) if b else find(a) for a, b in parts]
+    kept.update(list(new.items())[: max(0, _KEPT - len(kept))])
+    return np.frombuffer(b"".join(lists), "<u4"), np.array([len(x) // 4 for x in lists], np.int64)
+
+
+def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, ids as little-endian unsigned 32-bit integers) of each row; ``end_id`` is put after each document.
 
     For tokenizers that split at ASCII white space and drop it: a text's ids are those of its words, one after the other.
@@ -68,9 +134,8 @@ def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 8
         for batch in blocks.slices(batches, "text", block_bytes):
             words = blocks.split(batch.column(1), blocks.NON_SPACE, blocks.SAME)
             which, distinct = words.encoded()
-            lists = _ids_of_words(distinct.to_pylist(), path)
-            sizes = np.array([len(x) for x in lists], np.int64)
-            first, pool = np.cumsum(sizes) - sizes, np.concatenate([*lists, np.zeros(0, np.uint32)])
+            pool, sizes = _ids_of_words(distinct.to_pylist(), path)
+            first = np.cumsum(sizes) - sizes
             lengths = sizes[which]
             flat = pool[blocks.ragged(first[which], lengths)]
             ends = np.concatenate([[0], np.cumsum(lengths)])[words.first]
@@ -81,8 +146,17 @@ def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 8
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Documents in ascending doc_id order, over partitions and within them; equal ids by text.
+
+    The texts are what is moved: they are smaller than their ids, and an exchange of encoded rows would encode them twice,
+    once to find the ranges.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+
+
 def write(encoded: DataFrame, path: str, segment_tokens: int = 1 << 20, width: int = 8) -> None:
-    """Writes (doc_id, ids) in ascending doc_id order under ``path``: segments in ``path/segments``, ``path/manifest``."""
+    """Writes (doc_id, ids), which must be ``in_order``, under ``path``: segments in ``path/segments``, ``path/manifest``."""
     spark = encoded.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +180,7 @@ def write(encoded: DataFrame, path: str, segment_tokens: int = 1 << 20, width: i
             yield made()
 
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("image", pa.binary())])
-    n = partitions(spark)
-    ordered = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(pack, SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
+    encoded.mapInArrow(pack, SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
     sizes = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").select("part", "segment", F.col("n_tokens"), F.size("doc_ids").alias("n_docs"))
     # one row for each part, of which there are as many as shuffle partitions
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
@@ -162,5 +234,5 @@ def files_and_back(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Encodes, writes and reads the documents."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write(encode(docs, tokenizer, end_id), path)
+    write(encode(in_order(docs), tokenizer, end_id), path)
     return read(spark, path)
