@@ -40,7 +40,7 @@ class _Tokenizer:
 
     Most of the library's time goes into normalising texts and finding words in them.  For stems that are runs of Latin
     letters both are known beforehand: they are put in small letters and byte symbols here, and the library's model gets
-    them with blanks between, to be cut at the blanks only.  The first stems go both ways; if any ids differ, the tokenizer
+    them with blanks between, to be cut at the blanks only.  Some words go both ways first; if any ids differ, the tokenizer
     is of another kind and every word takes the long way.
     """
 
@@ -55,12 +55,17 @@ class _Tokenizer:
         for token, k in self.whole.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         self.kept: dict[str, bytes] = {}
-        self.fits: bool | None = None
         # the symbols of byte-level vocabularies: printable bytes stand for themselves, the rest follow from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = [b for b in range(256) if b not in shown]
         symbol = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.symbols = {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+        stems = ["The", "qué", "ÀÉÎ", "straße", "Übermäßig", "naïve", "x", "Internationalisation", "øre", "ČESKÝ"]
+        tails = ["", ".", ",", "!!", "***", "&&&", ")", "...", "</w>", "|", "?!", ":"]
+        low = self.together([s.lower() for s in stems])
+        after = self.alone(tails)
+        whole = self.alone([s + t for s in stems for t in tails])
+        self.fits = all(whole[s + t] == low[s.lower()] + after[t] for s in stems for t in tails)
 
     def alone(self, stems: list[str]) -> dict[str, bytes]:
         out = {}
@@ -86,9 +91,7 @@ class _Tokenizer:
 
     def ids(self, plain: list[str], other: list[str]) -> dict[str, bytes]:
         """The ids of each stem, as 32-bit integers."""
-        if self.fits is None and plain:
-            self.fits = self.together(plain[:500]) == self.alone(plain[:500])
-        return self.together(plain) | self.alone(other) if self.fits else self.alone(plain + other)
+        return self.together(plain) | self.alone(other)
 
 
 _tokenizer = lru_cache(maxsize=1)(_Tokenizer)
@@ -106,7 +109,7 @@ def _ids_of_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray
     for word in words:
         text = word.decode()
         stem = text.rstrip(_TAIL)
-        if _plain(stem):
+        if tokenizer.fits and _plain(stem):
             tail, stem = text[len(stem) :], stem.lower()
             parts.append((stem, tail))
             if stem not in kept:
