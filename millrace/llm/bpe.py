@@ -55,6 +55,10 @@ class Merges:
         keys, made = np.array(pairs, np.int64).reshape(-1, 2).T
         order = np.argsort(keys)
         self.keys, self.made = np.append(keys[order], _NONE), np.append(made[order], _NONE)
+        # tokens that make one of lower rank with some neighbour: where that is, the order of merges within a piece matters
+        self.early = np.zeros(self.size, bool)
+        for side in (keys // self.size, keys % self.size):
+            self.early[side[made < side]] = True
         by_id: list[bytes | None] = [None] * self.size
         for token, rank in ranks.items():
             by_id[rank] = token
@@ -120,6 +124,10 @@ class Merges:
                     start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
                     at = at[(np.arange(len(at)) - start) % 2 == 0]
             gone = after[at]
+            if self.early[r]:  # with the neighbours as they are before any of these merges
+                for spots, beside, key in ((at, after[gone], lambda k: (r, symbol[k])), (at, before[at], lambda k: (symbol[k], r))):
+                    spots, beside = spots[beside >= 0], beside[beside >= 0]
+                    odd[piece[spots[self.pair_ranks(*key(beside)) < r]]] = True
             symbol[at] = r
             alive[gone] = False
             rank[gone] = _NONE
@@ -132,8 +140,6 @@ class Merges:
             touched = _distinct(np.concatenate([at[has], left[left >= 0]]))
             if len(touched):
                 add(touched)
-                early = touched[rank[touched] < r]
-                odd[piece[early]] = True  # a merge made a pair of lower rank: the order within the piece matters
         ids, counts = symbol[alive], np.bincount(piece[alive], minlength=len(pieces))
         if odd.any():
             lists = np.split(ids, np.cumsum(counts)[:-1])

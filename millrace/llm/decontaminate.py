@@ -58,7 +58,10 @@ def _unpack(postings: bytes, n: int) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
-    """A row for each block and term, and one without a term for each block (see above); not yet stored."""
+    """A row for each block and term, and one without a term for each block (see above), as a stored table.
+
+    Blocks are numbered by partition, so the rows of one index must come from one run.
+    """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -75,7 +78,8 @@ def build_index(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
                     yield rows.slice(at, 50_000)
             block += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(index, INDEX)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(texts.mapInArrow(index, INDEX), "postings")
 
 
 def _words_of(text: str | None) -> list[bytes]:
@@ -301,13 +305,9 @@ def near_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame
     return spark.createDataFrame([], NEAR) if every is None else every
 
 
-def stored_index(docs: DataFrame) -> DataFrame:
-    return stored(build_index(docs), "postings")
-
-
 def report(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The digest of ``contamination`` for every document."""
-    found = contamination(stored_index(docs), items)
+    found = contamination(build_index(docs), items)
     return found.select(
         "doc_id",
         "n_words",
@@ -321,5 +321,5 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the items occurs."""
     keyed = docs.select(row_key().alias("doc_id"), "text")
-    hit = contamination(stored_index(keyed), items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("key")).distinct()
+    hit = contamination(build_index(keyed), items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("key")).distinct()
     return unpacked(packed(docs).join(stored(hit, "contaminated"), "key", "left_anti"), docs.columns)

@@ -125,6 +125,8 @@ def _forest(prints: np.ndarray, distance: int, rest: list[tuple[int, int]]) -> n
 def _pieces(distance: int, segment: int) -> list[tuple[int, int]]:
     bits = [b for k, (low, width) in enumerate(segments(distance)) if k != segment for b in [(low, width)]]
     out, n = [], distance + 1
+    if not bits:  # one segment holds all bits: its buckets have two fingerprints at most
+        return out
     share = [max(1, round(n * width / sum(w for _, w in bits))) for _, width in bits]
     while sum(share) < n:
         share[0] += 1
