@@ -40,7 +40,7 @@ from millrace.llm import blocks
 from millrace.llm.scratch import new_path, partitions
 from millrace.llm.shared import mapped, put
 
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 
 
 def _packed(numbers: np.ndarray) -> bytes:

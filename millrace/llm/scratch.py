@@ -24,8 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the intermediate tables and files of this process; results that are still to be computed from them are lost."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

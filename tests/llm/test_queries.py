@@ -1,11 +1,12 @@
 import collections
+import os
 
 import public_tokenizers as P
 from compare import assert_equal
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, catalog, decontaminate, linededup, simhash, toxicity
+from millrace.llm import bpe, catalog, decontaminate, scratch, simhash, toxicity
 
 
 def test_queries_equal_sql(spark, sf_dir):
@@ -13,6 +14,14 @@ def test_queries_equal_sql(spark, sf_dir):
         assert_equal(catalog.QUERIES[name](spark, sf_dir), sf_dir, sql)
 
 
+def test_clear_removes_intermediate_tables(spark):
+    table = scratch.stored(spark.range(3), "gone")
+    path = table.inputFiles()[0]
+    assert os.path.exists(path.removeprefix("file://"))
+    scratch.clear(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_every_number_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
 
