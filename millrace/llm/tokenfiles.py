@@ -30,7 +30,7 @@ from millrace.llm.scratch import new_path, partitions
 
 SEGMENTS = "part int, segment int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens long, image binary"
 #: Word stems whose ids a worker keeps from one block to the next.
-_KEPT = 400_000
+_KEPT = 150_000
 #: ASCII punctuation but the apostrophe: after letters it always begins a token of its own.
 _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -127,7 +127,7 @@ def _ids_of_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(lists), "<u4"), np.array([len(x) // 4 for x in lists], np.int64)
 
 
-def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, end_id: int | None, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, ids as little-endian unsigned 32-bit integers) of each row; ``end_id`` is put after each document.
 
     For tokenizers that split at ASCII white space and drop it: a text's ids are those of its words, one after the other.
