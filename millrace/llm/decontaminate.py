@@ -282,29 +282,39 @@ def _per_document(block: _Block, spans: np.ndarray, pairs: np.ndarray, items: li
     )
 
 
-def near_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
-    """(doc_id, item_id, first, last): the shortest spans of words, counted from the document's start, that hold every
-    distinct word of an item's text in any order and are at most ``slop`` words longer than it."""
+def _matches(index: DataFrame, items: DataFrame, size: int | None, found) -> DataFrame:
+    """(doc_id, item_id, first, last) of the spans that ``found`` gives as (phrase, first address, last address) of a block."""
     spark = index.sparkSession
     every = None
-    for listed in _passes(items, None):
+    for listed in _passes(items, size):
         sent = spark.sparkContext.broadcast(_Phrases(listed))
 
-        def near(table, sent=sent):
+        def rows(table, sent=sent):
             p = sent.value
             block = _Block(table, p.terms)
-            rows = []
-            for k, s, e in block.near(p, slop):
+            out = []
+            for k, s, e in found(block, p):
                 doc = int(block.document(np.array([s]))[0])
                 for i in p.owned[p.first_owned[k] : p.first_owned[k] + p.n_owned[k]]:
-                    rows.append((block.doc_ids[doc], p.items[i], s - int(block.starts[doc]), e - int(block.starts[doc])))
-            return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _NEAR.types)] if rows else [pa.array([], t) for t in _NEAR.types], schema=_NEAR)
+                    out.append((block.doc_ids[doc], p.items[i], s - int(block.starts[doc]), e - int(block.starts[doc])))
+            return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _NEAR.types)] if out else [pa.array([], t) for t in _NEAR.types], schema=_NEAR)
 
-        part = _by_block(index, sent.value, near, NEAR)
+        part = _by_block(index, sent.value, rows, NEAR)
         every = part if every is None else every.unionByName(part)
     return spark.createDataFrame([], NEAR) if every is None else every
 
 
+def exact_matches(index: DataFrame, items: DataFrame, window: int | None = None) -> DataFrame:
+    """(doc_id, item_id, first, last): every occurrence of an item's whole text, or of each of its windows, by word numbers."""
+    return _matches(index, items, window, lambda block, p: ((int(k), int(s), int(s + p.lengths[k] - 1)) for phrase, start in block.exact(p) for k, s in zip(phrase, start)))
+
+
+def near_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
+    """(doc_id, item_id, first, last): the shortest spans of words, counted from the document's start, that hold every
+    distinct word of an item's text in any order and are at most ``slop`` words longer than it."""
+    return _matches(index, items, None, lambda block, p: block.near(p, slop))
+
+
 def report(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The digest of ``contamination`` for every document."""
     found = contamination(build_index(docs), items)

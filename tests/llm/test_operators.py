@@ -92,6 +92,8 @@ def test_near_matches(spark):
     found = {tuple(r) for r in decontaminate.near_matches(decontaminate.build_index(docs), items, slop=2).collect()}
     assert {(1, "7", 0, 4), (2, "7", 0, 2), (6, "7", 0, 2), (6, "7", 1, 3)} <= found
     assert not {r[0] for r in found} & {3, 4, 5}
+    exact = decontaminate.exact_matches(decontaminate.build_index(docs), items).collect()
+    assert sorted(map(tuple, exact)) == [(6, "7", 0, 2), (6, "7", 3, 5)]
 
 
 def test_postings_round_trip():
