@@ -229,9 +229,9 @@ def filter_regex(t):
     return t.part.filter(F.col("p_name").rlike("^(red|blue) .*[gt]$")).select("p_partkey", "p_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 5 = 0 AS INTEGER) AS sample FROM lineitem WHERE l_orderkey % 5 = 0")
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linestatus = 'F' AS INTEGER) AS sample FROM lineitem WHERE l_linestatus = 'F'")
 def ml_split_by_flag(t):
-    return t.lineitem.withColumn("sample", (F.col("l_orderkey") % 5 == 0).cast("int")).filter(F.col("sample") == 1).select("l_orderkey", "l_linenumber", "sample")
+    return t.lineitem.withColumn("sample", (F.col("l_linestatus") == "F").cast("int")).filter(F.col("sample") == 1).select("l_orderkey", "l_linenumber", "sample")
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, 1 AS sample FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'none', 0 FROM supplier")
@@ -341,9 +341,10 @@ def text_top_tokens(t):
     return profile.token_counts(t.documents, "text", 100)
 
 
-@query("WITH c AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey), q AS (SELECT o_custkey FROM c) SELECT count(*) AS n FROM q")
+@query("WITH d AS (SELECT DISTINCT text, n_chars FROM documents), q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM d) SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM d, q WHERE n_chars BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")
 def clean_dedupe_nulls_outliers(t):
-    return profile.cleaned(t.orders, ["o_custkey"], ["o_totalprice"], "o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    kept = profile.cleaned(t.documents.select("text", "n_chars"), ["text"], ["text"], "n_chars")
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 # Text and numbers -----------------------------------------------------------------------------------------------------
@@ -404,13 +405,13 @@ def html_link_extract(t):
     return links.filter(F.col("pos") > 0)
 
 
-@query("SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 60) END AS text FROM documents")
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text FROM documents")
 def src_csv_roundtrip(t):
     import uuid
 
     folder = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
-    rows = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.substring("text", 1, 60)).alias("text"))
+    rows = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("text"))
     sources.write_csv(rows, path)
     return sources.read_csv(t.spark, path, rows.schema)
 
