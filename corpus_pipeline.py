@@ -21,8 +21,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on five or more sources stay in their first document only."""
-    return linededup.remove(docs)
+    """Lines on five or more sources stay in their first document only; a document that held nothing else goes."""
+    return linededup.remove(docs, keep_emptied=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

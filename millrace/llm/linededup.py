@@ -57,9 +57,16 @@ def _text() -> Column:
     return F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
 
 
-def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with boilerplate taken out of ``text``; ``n_chars``, where it is, follows the text."""
-    return unpacked(marked(docs, sites, min_words), docs.columns, text=_text(), n_chars=F.when(F.col("left").isNull(), F.col("row")["n_chars"]).otherwise(F.length(_text())).cast("long") if "n_chars" in docs.columns else F.lit(None))
+def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
+    """The rows of ``docs`` with boilerplate taken out of ``text``; ``n_chars``, where it is, follows the text.
+
+    Without ``keep_emptied``, rows of which nothing but white space is left go; those that had no line taken stay.
+    """
+    rows = marked(docs, sites, min_words)
+    if not keep_emptied:
+        rows = rows.filter(F.col("left").isNull() | _text().rlike(r"\S"))
+    n_chars = F.when(F.col("left").isNull(), F.col("row")["n_chars"]).otherwise(F.length(_text())).cast("long") if "n_chars" in docs.columns else F.lit(None)
+    return unpacked(rows, docs.columns, text=_text(), n_chars=n_chars)
 
 
 #: The same in SQL, with exact counts for all lines.

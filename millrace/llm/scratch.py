@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and one machine is all there is, a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             folder = context.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="spark-millrace-")
             spark.sparkContext.setCheckpointDir(folder)

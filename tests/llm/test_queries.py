@@ -6,7 +6,7 @@ from compare import assert_equal
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, catalog, decontaminate, scratch, simhash, toxicity
+from millrace.llm import bpe, catalog, decontaminate, linededup, scratch, simhash, toxicity
 
 
 def test_queries_equal_sql(spark, sf_dir):
@@ -35,7 +35,11 @@ def test_stages_keep_columns_and_agree_with_run(spark):
     scores = toxicity.apply(docs, toxicity.fit(docs, labels))
     assert {r[0] for r in clean.select("doc_id").collect()} == {r[0] for r in scores.filter("score < 0.5").select("doc_id").collect()}
     lines = stages["line dedup"](spark, clean, folder).cache()
-    assert lines.columns == docs.columns and lines.count() == clean.count()
+    whole = linededup.remove(clean)
+    assert lines.columns == docs.columns
+    assert {r[0] for r in whole.select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()}
+    emptied = {r[0] for r in whole.filter("not text rlike '\\\\S'").select("doc_id").collect()} - {r[0] for r in clean.filter("not text rlike '\\\\S'").select("doc_id").collect()}
+    assert {r[0] for r in lines.select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()} - emptied
     assert lines.filter(F.length("text") != F.col("n_chars")).count() == 0
     one = stages["SimHash near-dedup"](spark, lines, folder).cache()
     groups = simhash.near_duplicates(lines)
