@@ -21,20 +21,28 @@ from millrace.llm.scratch import packed, row_key, stored, unpacked
 SITES, MIN_WORDS = 5, 3
 #: Sketches of 2 ** LG_K registers; three standard errors of the estimate near ``sites`` are below MARGIN * sites + 1.
 LG_K, MARGIN = 10, 0.1
+#: Lines (two numbers each) that are sent to every executor at most.
+SENT = 500_000
 
 
 def _counts(line: Column, min_words: int) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= min_words - 1
 
 
-def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """(line) of the line hashes that stand on at least ``sites`` distinct sites, from (line, site)."""
+def _beside(lines: DataFrame, n: int) -> DataFrame:
+    """A table of at most ``n`` lines for a join: sent to every executor if that is few enough, else left to the planner."""
+    return F.broadcast(lines) if n <= SENT else lines
+
+
+def boilerplate(lines: DataFrame, sites: int = SITES) -> tuple[DataFrame, int]:
+    """(line) of the line hashes that stand on at least ``sites`` distinct sites, from (line, site), and a bound of their number."""
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     estimates = stored(sketches.select("line", F.hll_sketch_estimate("sketch").alias("n")).filter(F.col("n") >= F.lit(sites * (1 - MARGIN) - 1)), "spread")
+    most = estimates.count()
     high = sites * (1 + MARGIN) + 1
     near = estimates.filter(F.col("n") <= F.lit(high)).select("line")
-    exact = lines.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("n")).filter(F.col("n") >= sites)
-    return estimates.filter(F.col("n") > F.lit(high)).select("line").unionByName(exact.select("line"))
+    exact = lines.join(_beside(near, most), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("n")).filter(F.col("n") >= sites)
+    return stored(estimates.filter(F.col("n") > F.lit(high)).select("line").unionByName(exact.select("line")), "boilerplate"), most
 
 
 def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -44,9 +52,10 @@ def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> D
     """
     cut = docs.select(row_key().alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text"), "\n")).alias("l"))
     lines = stored(cut.filter(_counts(F.col("l"), min_words)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
-    held = stored(lines.join(boilerplate(lines, sites), "line", "left_semi").select("key", "id", "line").distinct(), "boilerplate")
+    spread, most = boilerplate(lines, sites)
+    held = stored(lines.join(_beside(spread, most), "line", "left_semi").select("key", "id", "line").distinct(), "held")
     first = held.groupBy("line").agg(F.min("id").alias("first"))
-    gone = held.join(first, "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("gone"))
+    gone = held.join(_beside(first, most), "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("gone"))
     parts = F.split(F.col("row.text"), "\n")
     left = F.filter(parts, lambda l: ~(F.array_contains(F.col("gone"), F.xxhash64(l)) & _counts(l, min_words)))
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")

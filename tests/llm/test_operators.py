@@ -289,7 +289,9 @@ def test_components_of_a_chain(spark):
 # line dedup
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_line_dedup(docs, empty, monkeypatch, sent):
+    monkeypatch.setattr(linededup, "SENT", sent)
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     counts = lambda l: l.count(" ") >= linededup.MIN_WORDS - 1
     sites, ids = collections.defaultdict(set), collections.defaultdict(set)
