@@ -6,6 +6,8 @@ Nulls count as empty texts.  Nothing here cuts a text: long texts make their blo
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: The C library where it has malloc_trim.
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _BYTES = np.arange(256, dtype=np.uint8)
 #: ASCII capitals to small letters, all other bytes as they are.
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -88,6 +92,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             to = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps workers for later stages, whose needs would add up to these."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

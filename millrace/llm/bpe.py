@@ -214,7 +214,7 @@ def decode_ids(ids: pa.Array, first: np.ndarray, table: Merges) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(at), data if data is not None else pa.py_buffer(b"")])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, ids) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

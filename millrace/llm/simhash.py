@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, key, fingerprint as a signed long) of each row; key is the hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 4 << 20):
+        for batch in blocks.slices(batches, "text", 2 << 20):
             prints = fingerprints_of(batch.column(2), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fingerprint"])
 

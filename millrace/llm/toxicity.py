@@ -71,7 +71,7 @@ def choose_terms(examples: DataFrame, most_terms: int = MOST_TERMS) -> list[tupl
         return []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 8 << 20):
+        for batch in blocks.slices(batches, "text", 2 << 20):
             text, term, _, terms = _occurrences(batch.column(0), None)
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
             both = [pa.array(np.bincount(term[label == k], minlength=len(terms))) for k in (1, 0)]
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     number = {t: k for k, (t, _) in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 8 << 20):
+        for batch in blocks.slices(batches, "text", 2 << 20):
             owner, term, times, _ = _occurrences(batch.column(0), number)
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (term, times)]
@@ -182,7 +182,7 @@ def apply(docs: DataFrame, index: Index, k: int = NEAREST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        for batch in blocks.slices(batches, "text", 8 << 20):
+        for batch in blocks.slices(batches, "text", 2 << 20):
             scores, evidence = sent.value.score(batch.column(1), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -194,7 +194,7 @@ def without_toxic(docs: DataFrame, index: Index, cut: float = 0.5, k: int = NEAR
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 8 << 20):
+        for batch in blocks.slices(batches, "text", 2 << 20):
             scores, _ = sent.value.score(batch.column(batch.schema.get_field_index("text")), k)
             yield batch.filter(pa.array(scores < cut))
 
