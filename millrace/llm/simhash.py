@@ -8,6 +8,10 @@ rest) brings all links together.  Every candidate is verified with the whole fin
 Only distinct fingerprints are indexed, so a group of copies costs one row however large it is, and of a bucket only the
 edges of a spanning forest leave the task.  Documents get their component through their fingerprint.
 
+Fingerprints alone say little about how much two texts share.  With a ``similarity`` given, links are between distinct texts
+instead: those within ``distance`` bits whose sets of shingles have at least that Jaccard similarity, by the 64-bit hashes of
+all their shingles.  Sets of candidates stand in files of the shared folder, which workers map into memory.
+
 Defined cases: null and empty texts have fingerprint zero, which links like any other; null ids stay and never become a
 component's name unless all ids of the component are null; equal rows are separate documents of one component; other
 columns are ignored; an empty table gives no rows.
@@ -15,6 +19,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import blocks
+from millrace.llm import blocks, shared
 from millrace.llm.graph import components
-from millrace.llm.scratch import packed, partitions, row_key, stored, unpacked
+from millrace.llm.scratch import new_path, packed, partitions, row_key, stored, unpacked
 
 BITS = 64
 #: Buckets up to this size are compared in one matrix, larger ones by pieces of the rest of the fingerprint first.
 MATRIX = 512
+#: Candidates (two numbers each) that are sent to every executor at most.
+SENT = 500_000
 
 
 def _normalized(words: blocks.Words) -> bytes:
@@ -40,8 +47,8 @@ def _normalized(words: blocks.Words) -> bytes:
     return out.tobytes()
 
 
-def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
-    """SimHash of each text: a bit is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def _hashed(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(XXH64 with seed 42 of all shingles by text, the number of each text's, XXH64 of each text's normalized words)."""
     words = blocks.split(texts, blocks.NON_SPACE, blocks.LOWER)
     text, n = _normalized(words), np.diff(words.first)
     starts = words.offsets[:-1] + np.arange(len(words))
@@ -51,6 +58,28 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
     last = np.minimum(which + shingle, np.repeat(words.first[1:], count)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[s:e], 42) for s, e in zip(starts[which].tolist(), ends[last].tolist())), np.uint64, len(which))
+    edges = np.append(starts, len(text))[words.first].tolist()
+    return hashes, count, np.array([digest(text[s:e], 42) for s, e in zip(edges[:-1], edges[1:])], np.uint64)
+
+
+def _sets(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct hashes of each text, sorted within it, the number of each text's)."""
+    owner = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[fresh], np.bincount(owner[fresh], minlength=len(count))
+
+
+def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
+    """SimHash of each text: a bit is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+    hashes, n, _ = _hashed(texts, shingle)
+    return _voted(hashes, n)
+
+
+def _voted(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    n = count
     sums = np.zeros((len(n), BITS), np.int64)
     at = 0
     while at < len(n):  # about a million shingles at once
@@ -83,10 +112,10 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def variants(prints: DataFrame, distance: int) -> DataFrame:
-    """(segment, wildcard, rest, fingerprint) of each distinct fingerprint: ``rest`` is the segment with the wildcard bit cleared."""
+def variants(prints: DataFrame, distance: int, *others: str) -> DataFrame:
+    """(segment, wildcard, rest, fingerprint, others) of each distinct fingerprint: ``rest`` is the segment with the wildcard bit cleared."""
     kinds = [F.struct(F.lit(k).alias("segment"), F.lit(bit).alias("wildcard"), F.col("fingerprint").bitwiseAND(F.lit(((((1 << width) - 1) << low) & ~(1 << (low + bit))) - (1 << 64 if low + width == 64 and bit != width - 1 else 0))).alias("rest")) for k, (low, width) in enumerate(segments(distance)) for bit in range(width)]
-    return prints.select(F.explode(F.array(*kinds)).alias("v"), "fingerprint").select("v.*", "fingerprint")
+    return prints.select(F.explode(F.array(*kinds)).alias("v"), "fingerprint", *others).select("v.*", "fingerprint", *others)
 
 
 def _forest(prints: np.ndarray, distance: int, rest: list[tuple[int, int]]) -> np.ndarray:
@@ -170,6 +199,133 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return keyed.repartition(n, "segment", "wildcard", "rest").sortWithinPartitions("segment", "wildcard", "rest", "fingerprint").mapInArrow(run, "a long, b long")
 
 
+def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, node, fingerprint, size) of each row; node is the hash of the text's words, size the number of its distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.slices(batches, "text", 2 << 20):
+            hashes, count, node = _hashed(batch.column(2), shingle)
+            new = [pa.array(x) for x in (node.view(np.int64), _voted(hashes, count).view(np.int64), _sets(hashes, count)[1].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "key", "node", "fingerprint", "size"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, node long, fingerprint long, size long")
+
+
+def _bucketed(rows: DataFrame, distance: int, of_bucket, schema: str) -> DataFrame:
+    """of_bucket(segment, wildcard, the bucket's rows by size) of each bucket of ``rows`` (columns fingerprint, size, any others)."""
+    kinds = variants(rows, distance, *[c for c in rows.columns if c != "fingerprint"])
+    keys = ["segment", "wildcard", "rest"]
+    dealt = kinds.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            k = [table.column(c).to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1 if table.num_rows else np.zeros(0, np.int64)
+            for a, b in zip([0, *cuts.tolist()], cuts.tolist()):  # the last bucket may go on
+                if b - a > 1:
+                    yield from of_bucket(int(k[0][a]), int(k[1][a]), table.slice(a, b - a))
+            held = table.slice(int(cuts[-1])) if len(cuts) else table
+        if held is not None and held.num_rows > 1:
+            yield from of_bucket(held.column("segment")[0].as_py(), held.column("wildcard")[0].as_py(), held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _beside_another(prints: np.ndarray, sizes: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """Which fingerprints, by size, have another within ``distance`` whose size allows the similarity."""
+    found = np.zeros(len(prints), bool)
+    for at in range(0, len(prints), MATRIX):
+        rows = slice(at, min(at + MATRIX, len(prints)))
+        most = int(np.searchsorted(sizes, sizes[rows.stop - 1] / similarity + 1e-6, side="right"))
+        for to in range(at, most, MATRIX):
+            columns = slice(to, min(to + MATRIX, most))
+            if found[rows].all() and found[columns].all():
+                continue
+            near = np.bitwise_count(prints[rows][:, None] ^ prints[columns][None, :]) <= distance
+            if at == to:
+                np.fill_diagonal(near, False)
+            found[rows] |= near.any(axis=1)
+            found[columns] |= near.any(axis=0)
+    return found
+
+
+def _similar_forest(prints: np.ndarray, sizes: np.ndarray, set_of, segment: int, wildcard: int, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges (places in the bucket, by size) that connect what verified links connect.
+
+    A pair is looked at in one bucket alone: that of the first segment with one differing bit at most, and of that bit.
+    """
+    label, out = np.arange(len(prints)), []
+    cuts = [(np.uint64(low), np.uint64((1 << width) - 1)) for low, width in segments(distance)]
+    most = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
+    for i in range(len(prints) - 1):
+        x = prints[i] ^ prints[i + 1 : most[i]]
+        ok = (np.bitwise_count(x) <= distance) & (label[i + 1 : most[i]] != label[i])
+        j = np.flatnonzero(ok)
+        if not len(j):
+            continue
+        x = x[j]
+        ok = np.ones(len(j), bool)
+        for low, mask in cuts[:segment]:
+            ok &= np.bitwise_count((x >> low) & mask) > 1
+        if wildcard:
+            ok &= (x >> cuts[segment][0]) & cuts[segment][1] != 0
+        j = j[ok] + i + 1
+        while len(j):
+            a, b = set_of(i), set_of(int(j[0]))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                out.append((i, int(j[0])))
+                label[label == label[j[0]]] = label[i]
+                j = j[label[j] != label[i]]
+            else:
+                j = j[1:]
+    return out
+
+
+def similar(nodes: DataFrame, docs: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """(a, b): edges whose components are those of all links between the texts of ``docs``, from their ``_nodes``."""
+    spark = docs.sparkSession
+    texts = nodes.groupBy("node", "fingerprint", "size").agg(F.min("key").alias("key"))
+    prints = texts.groupBy("fingerprint", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def beside(segment: int, wildcard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints, sizes = rows.column("fingerprint").to_numpy(), rows.column("size").to_numpy()
+        found = _beside_another(prints.view(np.uint64), sizes, distance, similarity)
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(prints[found]), pa.array(sizes[found])], names=["fingerprint", "size"])
+
+    several = prints.filter("n > 1").select("fingerprint", "size")
+    near = _bucketed(prints.select("fingerprint", "size"), distance, beside, "fingerprint long, size long").unionByName(several).distinct()
+    chosen = stored(texts.join(near, ["fingerprint", "size"], "left_semi"), "candidates")
+    folder = new_path(spark, "shingles")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.slices(batches, "text", 2 << 20):
+            hashes, count, _ = _hashed(batch.column(1), shingle)
+            hashes, count = _sets(hashes, count)
+            name = uuid.uuid4().hex
+            shared.put(f"{folder}/{name}", hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(count), pa.string()), pa.array(np.cumsum(count) - count)], names=["node", "file", "start"])
+
+    keys = chosen.select("key", "node")
+    rows = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys) if keys.count() <= SENT else keys, "key").select("node", "text")
+    places = stored(rows.mapInArrow(written, "node long, file string, start long"), "places").groupBy("node").agg(F.first(F.struct("file", "start")).alias("place"))
+    placed = chosen.join(places, "node").select("fingerprint", "size", "node", "place.file", "place.start")
+
+    def linked(segment: int, wildcard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints, sizes, node, start = (rows.column(c).to_numpy() for c in ("fingerprint", "size", "node", "start"))
+        file = rows.column("file")
+        set_of = lambda i: shared.mapped(f"{folder}/{file[i].as_py()}", "<u8")[start[i] : start[i] + sizes[i]]
+        edges = _similar_forest(prints.view(np.uint64), sizes, set_of, segment, wildcard, distance, similarity)
+        if edges:
+            i, j = np.array(edges).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    return _bucketed(placed, distance, linked, "a long, b long")
+
+
 def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, key, fingerprint) of each row, (fingerprint, component, component_id) of each distinct fingerprint)."""
     every = stored(fingerprints(docs, shingle), "prints")
@@ -186,10 +342,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return every.join(by_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest hash; null ids last."""
-    every, by_print = _grouped(docs, shingle, distance)
-    # first within each fingerprint, so that a group of copies is one row in the join
-    first = every.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    stay = first.join(by_print, "fingerprint").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest hash; null ids last.
+
+    With ``similarity``, components are those of verified links between texts, else of links between fingerprints.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    if similarity is None:
+        every, by_name = _grouped(docs, shingle, distance)
+        name = "fingerprint"
+    else:
+        every = stored(_nodes(docs, shingle), "nodes")
+        labels = components(similar(every, docs, shingle, distance, similarity))
+        name = "node"
+        by_name = every.select(name).distinct().join(labels, name, "left").withColumn("component", F.coalesce("component", name))
+    # first within each fingerprint or text, so that a group of copies is one row in the join
+    first = every.groupBy(name).agg(least)
+    stay = first.join(by_name, name).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return unpacked(packed(docs).join(stay, "key", "left_semi").dropDuplicates(["key"]), docs.columns)

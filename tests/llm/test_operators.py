@@ -280,6 +280,45 @@ def test_links_lose_nothing(spark, distance, monkeypatch):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
+def shingles(t, k=5):
+    w = low(t).split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+@pytest.mark.parametrize("matrix", [8, 512])
+def test_one_of_each_by_similarity(spark, monkeypatch, matrix):
+    """Near copies go and others stay, as by brute force over all pairs within the distance."""
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    rng = np.random.default_rng(3)
+    texts = ["", " \n", "one two", "One  two", "one three"]
+    for n in (30, 100, 400):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 3000, n)]
+            for edits in (0, 1, 1, 2, 3, n // 40, n // 25, n // 10, n // 5):
+                copy = list(base)
+                for x in rng.integers(0, n, edits):
+                    copy[x] = "other"
+                texts.append(" ".join(copy))
+    table = spark.createDataFrame([*enumerate(texts), (None, texts[5])], "doc_id long, text string").repartition(3)
+    prints = [int(f) for f in simhash.fingerprints_of(pa.array(texts), 5)]
+    sets = [shingles(t) for t in texts]
+    group, missed, links = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links += sets[i] != sets[j]
+                if (prints[i] ^ prints[j]).bit_count() > 13:
+                    missed += 1
+                else:
+                    a, b = group[i], group[j]
+                    group = [min(a, b) if g in (a, b) else g for g in group]
+    kept = simhash.one_of_each(table, shingle=5, distance=13, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+    assert links > 30 and missed <= 0.1 * links
+    assert simhash.one_of_each(table, shingle=5, distance=13).count() < len(set(group))  # unverified links join what differs
+    assert simhash.one_of_each(table.limit(0), shingle=5, distance=13, similarity=0.8).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(300).selectExpr("id a", "id + 1 b")
     assert graph.components(edges).filter("component <> 0").count() == 0
