@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are lower-cased words and the beginnings of longer words (stems that take endings).  Those whose presence depends
-on the label beyond chance, by a chi-squared test over the sample's distinct texts, make up the space; weights are
-(1 + ln tf) * idf, vectors have length one.  The examples' postings stand in blocks of ``BLOCK`` examples, with the
+on the label beyond chance, by a chi-squared test over the sample's distinct texts, make up the space, however many they
+are; of a word and its beginnings that stand in the same documents only the longest counts.  Weights are (1 + ln tf) * idf
+with the document frequency over all documents, vectors have length one.  The examples' postings stand in blocks of ``BLOCK`` examples, with the
 largest weight of each term in each block.  A text's sum of its weights times those maxima bounds its cosine with all
 examples of a block; blocks whose bound is below the k-th best cosine found so far are never opened, so the k nearest
 examples are exact.  They vote with the square of their cosine, against a prior of ``PRIOR`` votes at the base rate.
 
-The sample holds ``most`` labelled documents or nearly so, chosen by hash; the space has ``MOST_TERMS`` terms at most.  Both
-bounds are parameters of the fit alone: scoring covers all words of all texts.
+The sample holds ``most`` labelled documents or nearly so, chosen by hash.  That bound is a parameter of the fit alone:
+scoring covers all words of all texts.
 
 Defined cases: null and empty texts, and texts without any of the terms, get the rate among the examples without any;
 with labels of one kind only, every score is the smoothed rate; ties among neighbours go to the smaller doc_id; null ids
@@ -29,7 +30,9 @@ from millrace.llm import blocks
 from millrace.llm.labelled import sample
 from millrace.llm.scratch import stored
 
-MOST, MOST_TERMS, NEAREST, BLOCK = 16_384, 128, 15, 64
+MOST, NEAREST, BLOCK = 16_384, 15, 64
+#: Occurrences that are bounded at once.
+_AT_ONCE = 1 << 14
 #: Votes that the base rate has.
 PRIOR = 0.3
 #: Lengths, in characters, of the beginnings of words that count as terms; such a term ends in "*".
@@ -64,8 +67,17 @@ def _occurrences(texts: pa.Array, known: dict[bytes, int] | None) -> tuple[np.nd
     return pairs[fresh] // max(len(number), 1), pairs[fresh] % max(len(number), 1), times, list(number)
 
 
-def choose_terms(examples: DataFrame, most_terms: int = MOST_TERMS) -> list[tuple[bytes, float]]:
-    """(term, idf) of the terms that tell the labels apart, over examples (text, label)."""
+def longest(counts: dict[bytes, tuple]) -> list[bytes]:
+    """The terms without beginnings whose documents are those of a longer term; as these hold the longer term's, equal counts tell."""
+    gone = set()
+    for term, n in counts.items():
+        text = term.removesuffix(b"*").decode()
+        gone.update(b for k in _STEMS if k < len(text) and counts.get(b := text[:k].encode() + b"*") == n)
+    return [t for t in counts if t not in gone]
+
+
+def choose_terms(examples: DataFrame) -> list[bytes]:
+    """The terms that tell the labels apart, over examples (text, label)."""
     n1, n0 = (int(x or 0) for x in examples.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
     if not n1 or not n0:
         return []
@@ -84,8 +96,26 @@ def choose_terms(examples: DataFrame, most_terms: int = MOST_TERMS) -> list[tupl
     tested = stored(counts.filter(rest >= 2), "terms")
     # a level at which chance alone passes less than one term in all
     level = 2.5 * math.log(max(tested.count(), 2))
-    best = tested.filter(rest < n).withColumn("chi", chi).filter(F.col("chi") >= level).orderBy(F.desc("chi"), "term").limit(most_terms).collect()
-    return [(bytes(r["term"]), math.log((1 + n) / (1 + r["a"] + r["b"])) + 1) for r in best]
+    best = tested.filter(rest < n).withColumn("chi", chi).filter(F.col("chi") >= level).orderBy(F.desc("chi"), "term").collect()
+    return longest({bytes(r["term"]): (r["a"], r["b"]) for r in best})
+
+
+def weighted(docs: DataFrame, terms: list[bytes]) -> list[tuple[bytes, float]]:
+    """(term, idf) by the document frequency of each term over all rows of ``docs``."""
+    if not terms:
+        return []
+    number = {t: k for k, t in enumerate(terms)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(number) + 1, np.int64)  # the last is that of all rows
+        for batch in blocks.slices(batches, "text", 2 << 20):
+            n[:-1] += np.bincount(_occurrences(batch.column(0), number)[1], minlength=len(number))
+            n[-1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["term", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r["term"]: r["n"] for r in rows}
+    return [(t, math.log((1 + n.get(len(terms), 0)) / (1 + n.get(k, 0))) + 1) for t, k in number.items()]
 
 
 class Index:
@@ -105,10 +135,23 @@ class Index:
         self.ids = np.array([full[k][0] for k in order], np.int64)
         self.labels = np.array([full[k][1] for k in order], np.int64)
         n_blocks = -(-len(full) // BLOCK)
-        self.postings = np.zeros((len(terms), n_blocks, BLOCK), np.float32)
-        for at, k in enumerate(order):
-            self.postings[full[k][2], at // BLOCK, at % BLOCK] = weights[k]
-        self.most = self.postings.max(axis=2) if n_blocks else np.zeros((len(terms), 0), np.float32)
+        term = np.array([t for k in order for t in full[k][2]], np.int64)
+        weight = np.concatenate([weights[k] for k in order]).astype(np.float32) if full else np.zeros(0, np.float32)
+        spot = np.repeat(np.arange(len(full)), [len(full[k][2]) for k in order])
+        cell = term * n_blocks + spot // BLOCK
+        by_cell = np.argsort(cell, kind="stable")
+        #: The postings of term t in block b stand at first[t * n_blocks + b] up to the next.
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(terms) * n_blocks))]).astype(np.int32)
+        self.spot, self.weight = (spot[by_cell] % BLOCK).astype(np.uint8), weight[by_cell]
+        self.most = np.zeros((len(terms), n_blocks), np.float32)
+        np.maximum.at(self.most.reshape(-1), cell, weight)
+
+    @property
+    def postings(self) -> np.ndarray:
+        """The postings as a dense array (term, block, example), for tests."""
+        out = np.zeros((self.most.size, BLOCK), np.float32)
+        out[np.repeat(np.arange(self.most.size), np.diff(self.first)), self.spot] = self.weight
+        return out.reshape(*self.most.shape, BLOCK)
 
     def _unit(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[term]
@@ -124,7 +167,12 @@ class Index:
         which = np.full((len(texts), k), -1, np.int64)
         if not len(texts) or not n_blocks:
             return texts, best, which
-        bound = np.add.reduceat(w[:, None] * self.most[term], first, axis=0) + np.float32(1e-5)
+        bound, at = np.empty((len(texts), n_blocks), np.float32), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(first, first[at] + _AT_ONCE)))
+            end = first[to] if to < len(texts) else len(term)
+            bound[at:to] = np.add.reduceat(w[first[at] : end, None] * self.most[term[first[at] : end]], first[at:to] - first[at], axis=0) + np.float32(1e-5)
+            at = to
         order = np.argsort(-bound, axis=1, kind="stable")
         for step in range(n_blocks):
             block = order[:, step]
@@ -134,8 +182,11 @@ class Index:
             for at in range(0, len(open_), 4096):
                 rows = open_[at : at + 4096]
                 spots = blocks.ragged(first[rows], n[rows])
-                part = w[spots, None] * self.postings[term[spots], np.repeat(block[rows], n[rows])]
-                score = np.add.reduceat(part, np.cumsum(n[rows]) - n[rows], axis=0)
+                cell = term[spots] * n_blocks + np.repeat(block[rows], n[rows])
+                size = self.first[cell + 1] - self.first[cell]
+                found = blocks.ragged(self.first[cell].astype(np.int64), size.astype(np.int64))
+                place = np.repeat(np.repeat(np.arange(len(rows)) * BLOCK, n[rows]), size) + self.spot[found]
+                score = np.bincount(place, np.repeat(w[spots], size) * self.weight[found], len(rows) * BLOCK).reshape(-1, BLOCK).astype(np.float32)
                 example = block[rows][:, None] * BLOCK + np.arange(BLOCK)
                 score[(score <= 0) | (example >= len(self.ids))] = -1
                 both, names = np.concatenate([best[rows], score], axis=1), np.concatenate([which[rows], np.where(score > 0, np.minimum(example, len(self.ids) - 1), -1)], axis=1)
@@ -162,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     every = sample(docs, labels, label, most)
     # copies count once, else a group of copies makes its own words look telling
     examples = stored(every.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).drop("h"), "examples")
-    terms = choose_terms(examples)
+    terms = weighted(docs, choose_terms(examples))
     number = {t: k for k, (t, _) in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
             lists = [pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (term, times)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], names=["doc_id", "label", "terms", "times"])
 
-    rows = examples.select("text", "doc_id", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, times array<int>").collect()  # ``most`` rows of the few terms in each
+    rows = examples.select("text", "doc_id", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, times array<int>").collect()  # ``most`` rows of the chosen terms in each
     return Index(terms, sorted((r["doc_id"], r["label"], list(r["terms"]), list(r["times"])) for r in rows))
 
 

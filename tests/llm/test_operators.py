@@ -427,6 +427,18 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert toxicity.apply(docs, none).count() == docs.count()
 
 
+def test_toxicity_keeps_all_telling_terms(spark):
+    """More telling words than the 128 places that the space once had; beginnings that say the same don't count."""
+    many = spark.createDataFrame([(k, int(k % 2), f"w{k % 200:03d}x common") for k in range(40_000)], "doc_id long, label int, text string")
+    terms = toxicity.choose_terms(many.select("text", "label"))
+    assert {t for t in terms if t.endswith(b"x")} == {b"w%03dx" % k for k in range(200)}
+    assert not {t for t in terms if t.startswith(b"w") and len(t) > 4 and t.endswith(b"*")}
+    assert toxicity.longest({b"dis*": (5, 0), b"disg*": (4, 0), b"disgu*": (4, 0), b"disgust": (4, 0)}) == [b"dis*", b"disgust"]
+    # document frequencies are those of all documents
+    known = dict(toxicity.weighted(many.select("text"), [b"w007x", b"nowhere"]))
+    assert known == {b"w007x": math.log(40_001 / 201) + 1, b"nowhere": math.log(40_001) + 1}
+
+
 # secrets
 
 
