@@ -229,6 +229,9 @@ def _bucketed(rows: DataFrame, distance: int, of_bucket, schema: str) -> DataFra
             held = table.slice(int(cuts[-1])) if len(cuts) else table
         if held is not None and held.num_rows > 1:
             yield from of_bucket(held.column("segment")[0].as_py(), held.column("wildcard")[0].as_py(), held)
+        table = held = k = None
+        shared.mapped.cache_clear()  # pages of maps count as a worker's memory in later stages
+        blocks.give_back()
 
     return dealt.mapInArrow(run, schema)
 
