@@ -39,7 +39,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     index = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    return toxicity.apply(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.apply(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,20 @@
 Terms are lower-cased words and the beginnings of longer words (stems that take endings).  Those whose presence depends
 on the label beyond chance, by a chi-squared test over the sample's distinct texts, make up the space, however many they
 are; of a word and its beginnings that stand in the same documents only the longest counts.  Weights are (1 + ln tf) * idf
-with the document frequency over all documents, vectors have length one.  The examples' postings stand in blocks of ``BLOCK`` examples, with the
-largest weight of each term in each block.  A text's sum of its weights times those maxima bounds its cosine with all
-examples of a block; blocks whose bound is below the k-th best cosine found so far are never opened, so the k nearest
-examples are exact.  They vote with the square of their cosine, against a prior of ``PRIOR`` votes at the base rate.
+with the document frequency over all documents, vectors have length one.  The examples' postings stand in blocks of
+``BLOCK`` examples, with the largest weight of each term in each block.  A text's sum of its weights times those maxima
+bounds its cosine with all examples of a block; blocks whose bound is below the k-th best cosine found so far are never
+opened, so the k nearest examples are exact.  They, and all others as near as the k-th, vote with the square of their
+cosine, against a prior of ``PRIOR`` votes at the base rate.  The share of votes becomes a chance by a logistic curve, fitted
+to the shares that the examples have when each is left out of its own vote.
 
 The sample holds ``most`` labelled documents or nearly so, chosen by hash.  That bound is a parameter of the fit alone:
 scoring covers all words of all texts.
 
 Defined cases: null and empty texts, and texts without any of the terms, get the rate among the examples without any;
-with labels of one kind only, every score is the smoothed rate; ties among neighbours go to the smaller doc_id; null ids
-stay; equal rows are separate documents; other columns are ignored; an empty table gives no rows.
+with labels of one kind only, every score is the smoothed rate; neighbours that tie for the last place all vote, and of
+those that tie for a place in the evidence the smaller doc_ids are named; texts of any length are scored whole; null ids
+stay; equal rows are separate documents; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from millrace.llm.scratch import stored
 MOST, NEAREST, BLOCK = 16_384, 15, 64
 #: Occurrences that are bounded at once.
 _AT_ONCE = 1 << 14
+#: Cosines that differ by less are equal.
+_TIE = np.float32(2e-6)
+#: Weight of the shares as they are in the fit of the curve.
+_PULL = 1.0
 #: Votes that the base rate has.
 PRIOR = 0.3
 #: Lengths, in characters, of the beginnings of words that count as terms; such a term ends in "*".
@@ -138,6 +145,9 @@ class Index:
         term = np.array([t for k in order for t in full[k][2]], np.int64)
         weight = np.concatenate([weights[k] for k in order]).astype(np.float32) if full else np.zeros(0, np.float32)
         spot = np.repeat(np.arange(len(full)), [len(full[k][2]) for k in order])
+        #: The examples' occurrences: example, term, times.
+        self.rows = spot, term, np.array([x for k in order for x in full[k][3]], np.int64)
+        self.slope, self.shift = 1.0, 0.0
         cell = term * n_blocks + spot // BLOCK
         by_cell = np.argsort(cell, kind="stable")
         #: The postings of term t in block b stand at first[t * n_blocks + b] up to the next.
@@ -157,8 +167,8 @@ class Index:
         w = (1 + np.log(times)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, owner: np.ndarray, term: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(texts with any term, their k best cosines, the examples; -1 where there are fewer), from sorted occurrences."""
+    def nearest(self, owner: np.ndarray, term: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts with any term, their k best cosines, the examples, votes), from sorted occurrences; -1 where there are fewer."""
         w = (1 + np.log(times)) * self.idf[term]
         texts, first, n = np.unique(owner, return_index=True, return_counts=True)
         w = (w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), n)).astype(np.float32) if len(texts) else w
@@ -166,7 +176,7 @@ class Index:
         best = np.full((len(texts), k), -1.0, np.float32)
         which = np.full((len(texts), k), -1, np.int64)
         if not len(texts) or not n_blocks:
-            return texts, best, which
+            return texts, best, which, np.zeros((len(texts), 2))
         bound, at = np.empty((len(texts), n_blocks), np.float32), 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(first, first[at] + _AT_ONCE)))
@@ -176,40 +186,84 @@ class Index:
         order = np.argsort(-bound, axis=1, kind="stable")
         for step in range(n_blocks):
             block = order[:, step]
-            open_ = np.flatnonzero((bound[np.arange(len(texts)), block] >= best[:, -1]) & (bound[np.arange(len(texts)), block] > 2e-5))
+            reach = bound[np.arange(len(texts)), block]
+            open_ = np.flatnonzero((reach >= best[:, -1]) & (reach > 2e-5))
             if not len(open_):
                 break
             for at in range(0, len(open_), 4096):
                 rows = open_[at : at + 4096]
-                spots = blocks.ragged(first[rows], n[rows])
-                cell = term[spots] * n_blocks + np.repeat(block[rows], n[rows])
-                size = self.first[cell + 1] - self.first[cell]
-                found = blocks.ragged(self.first[cell].astype(np.int64), size.astype(np.int64))
-                place = np.repeat(np.repeat(np.arange(len(rows)) * BLOCK, n[rows]), size) + self.spot[found]
-                score = np.bincount(place, np.repeat(w[spots], size) * self.weight[found], len(rows) * BLOCK).reshape(-1, BLOCK).astype(np.float32)
-                example = block[rows][:, None] * BLOCK + np.arange(BLOCK)
-                score[(score <= 0) | (example >= len(self.ids))] = -1
-                both, names = np.concatenate([best[rows], score], axis=1), np.concatenate([which[rows], np.where(score > 0, np.minimum(example, len(self.ids) - 1), -1)], axis=1)
+                score, example = self._opened(block[rows], term, w, first[rows], n[rows])
+                both, names = np.concatenate([best[rows], score], axis=1), np.concatenate([which[rows], np.where(score > 0, example, -1)], axis=1)
+                # which of equal ones is named makes no difference to the votes
                 tie = np.where(names >= 0, self.ids[names], np.iinfo(np.int64).max)
-                take = np.lexsort((tie, -np.round(both, 6)), axis=1)[:, :k]
+                take = np.lexsort((tie, -both), axis=1)[:, :k]
                 best[rows], which[rows] = np.take_along_axis(both, take, 1), np.take_along_axis(names, take, 1)
-        return texts, best, which
+        return texts, best, which, self._votes(bound, best[:, -1], term, w, first, n)
+
+    def _opened(self, block: np.ndarray, term: np.ndarray, w: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine of each text with each example of its block, -1 without a term in common; the examples)."""
+        spots = blocks.ragged(first, n)
+        cell = term[spots] * self.most.shape[1] + np.repeat(block, n)
+        size = self.first[cell + 1] - self.first[cell]
+        found = blocks.ragged(self.first[cell].astype(np.int64), size.astype(np.int64))
+        place = np.repeat(np.repeat(np.arange(len(block)) * BLOCK, n), size) + self.spot[found]
+        score = np.bincount(place, np.repeat(w[spots], size) * self.weight[found], len(block) * BLOCK).reshape(-1, BLOCK).astype(np.float32)
+        example = block[:, None] * BLOCK + np.arange(BLOCK)
+        score[(score <= 0) | (example >= len(self.ids))] = -1
+        return score, np.minimum(example, len(self.ids) - 1)
+
+    def _votes(self, bound: np.ndarray, least: np.ndarray, term: np.ndarray, w: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(votes for label 1, votes in all) of each text: of all examples as near as its k-th, so that ties all count."""
+        votes = np.zeros((len(least), 2))
+        rows, block = np.nonzero((bound >= least[:, None] - _TIE) & (bound > 2e-5))
+        for at in range(0, len(rows), 4096):
+            own, opened = rows[at : at + 4096], block[at : at + 4096]
+            score, example = self._opened(opened, term, w, first[own], n[own])
+            vote = np.where((score > 0) & (score >= least[own][:, None] - _TIE), score.astype(np.float64) ** 2, 0.0)
+            np.add.at(votes, own, np.stack([(vote * self.labels[example]).sum(axis=1), vote.sum(axis=1)], axis=1))
+        return votes
+
+    def _share(self, votes: np.ndarray) -> np.ndarray:
+        return (votes[:, 0] + PRIOR * self.rate) / (votes[:, 1] + PRIOR)
+
+    def _chance(self, votes: np.ndarray) -> np.ndarray:
+        share = self._share(votes)
+        return 1 / (1 + np.exp(-(self.slope * np.log(share / (1 - share)) + self.shift)))
+
+    def calibrate(self, k: int) -> None:
+        """Fits the curve from shares of votes to chances, on the examples, each without its own vote."""
+        if not len(self.ids) or self.labels.min() == self.labels.max():
+            return
+        owner, term, times = self.rows
+        _, _, _, votes = self.nearest(owner, term, times, k + 1)
+        left = np.maximum(votes - np.stack([self.labels, np.ones(len(self.labels))], axis=1), 0)
+        share = self._share(left)
+        x, n1 = np.log(share / (1 - share)), self.labels.sum()
+        # labels drawn in from 0 and 1 as by Platt, and a slight pull toward the shares as they are
+        y = np.where(self.labels == 1, (n1 + 1) / (n1 + 2), 1 / (len(self.labels) - n1 + 2))
+        design, at = np.stack([x, np.ones(len(x))], axis=1), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design @ at))
+            gradient = design.T @ (p - y) + _PULL * (at - (1, 0))
+            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + _PULL * np.eye(2), gradient)
+            at = at - np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-9:
+                break
+        self.slope, self.shift = max(float(at[0]), 0.1), float(at[1])
 
     def score(self, texts: pa.Array, k: int) -> tuple[np.ndarray, list[list[dict]]]:
         """(score of each text, its three nearest examples)."""
         out, evidence = np.full(len(texts), self.bare), [[] for _ in range(len(texts))]
         owner, term, times, _ = _occurrences(texts, self.number)
-        rows, best, which = self.nearest(owner, term, times, k)
+        rows, best, which, votes = self.nearest(owner, term, times, k)
         if len(rows):
-            vote = np.where(which >= 0, np.maximum(best, 0).astype(np.float64) ** 2, 0.0)
-            label = self.labels[which] if len(self.labels) else np.zeros_like(which)
-            out[rows] = ((vote * label).sum(axis=1) + PRIOR * self.rate) / (vote.sum(axis=1) + PRIOR)
+            out[rows] = self._chance(votes)
             for r, b, e in zip(rows.tolist(), best[:, :3].tolist(), which[:, :3].tolist()):
                 evidence[r] = [{"doc_id": int(self.ids[x]), "similarity": float(s), "label": int(self.labels[x])} for s, x in zip(b, e) if x >= 0]
         return out, evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST, k: int = NEAREST) -> Index:
     every = sample(docs, labels, label, most)
     # copies count once, else a group of copies makes its own words look telling
     examples = stored(every.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).drop("h"), "examples")
@@ -224,7 +278,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], names=["doc_id", "label", "terms", "times"])
 
     rows = examples.select("text", "doc_id", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, times array<int>").collect()  # ``most`` rows of the chosen terms in each
-    return Index(terms, sorted((r["doc_id"], r["label"], list(r["terms"]), list(r["times"])) for r in rows))
+    index = Index(terms, sorted((r["doc_id"], r["label"], list(r["terms"]), list(r["times"])) for r in rows))
+    index.calibrate(k)
+    return index
 
 
 def apply(docs: DataFrame, index: Index, k: int = NEAREST) -> DataFrame:
