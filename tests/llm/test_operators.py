@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -108,7 +109,7 @@ def test_postings_round_trip():
 # token files
 
 
-@pytest.mark.parametrize("width", [3, 8, 11, 16])
+@pytest.mark.parametrize("width", [None, 1, 3, 8, 11, 16, 32])
 def test_dac(width):
     rng = np.random.default_rng(0)
     for n in (0, 1, 64, 513, 5000):
@@ -120,22 +121,59 @@ def test_dac(width):
         dac.Reader(dac.build(np.arange(3))).get([3])
 
 
+def test_dac_widths_are_the_best_of_all():
+    rng = np.random.default_rng(2)
+    values = (rng.integers(0, 2**9, 3000) >> rng.integers(0, 9, 3000)).astype(np.uint64)
+    size = lambda widths: sum((values >> np.uint64(sum(widths[:k])) > 0).sum() * (w + 1.125) if k else len(values) * (w + 1.125) for k, w in enumerate(widths))
+    splits = lambda n: [[n]] + [[k, *rest] for k in range(1, n) for rest in splits(n - k)]
+    assert size(dac.widths_for(values)) == pytest.approx(min(map(size, splits(9))))
+
+
 def test_token_files(spark, docs, empty):
     t = Tokenizer.from_file(WORD)
     path = new_path(spark, "test")
     tokenfiles.write(tokenfiles.encode(tokenfiles.in_order(docs), WORD, 2), path, segment_tokens=500)
     start, want, every = 0, [], []
-    rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    rows = tokenfiles.in_order(docs).collect()
+    assert [r[0] for r in rows] == sorted((i for i, _ in pairs(docs)), key=lambda i: (i is not None, i or 0))
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[0], ids[-1]))
         every += ids
         start += len(ids)
     same([tuple(r) for r in tokenfiles.read(spark, path).collect()], want)
+    same([tuple(r) for r in tokenfiles.files_and_back(docs, WORD, 2).collect()], want)
     places = [0, 1, len(every) // 2, len(every) - 1, 700]
     got = tokenfiles.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long")).collect()
     assert {r["place"]: r["id"] for r in got} == {p: every[p] for p in places}
     assert tokenfiles.files_and_back(empty, WORD, 2).count() == 0
+    # without an end id, documents may have no ids at all
+    none = new_path(spark, "test")
+    tokenfiles.write_texts(tokenfiles.in_order(docs), none, WORD, None)
+    assert {(r["n_tokens"] == 0) == (r["first_id"] is None) for r in tokenfiles.read(spark, none).collect()} == {True}
+
+
+def test_images_stand_in_files_as_they_are(spark, docs):
+    """Byte for byte, so that a token can be read from a file by place without decompressing anything."""
+    path = new_path(spark, "test")
+    tokenfiles.write_texts(tokenfiles.in_order(docs), path, WORD, 2)
+    rows = spark.read.parquet(f"{path}/segments")
+    files = [open(f.removeprefix("file://"), "rb").read() for f in rows.inputFiles()]
+    images = [bytes(r["image"]) for r in rows.select("image").collect()]
+    assert images and all(any(image in f for f in files) for image in images)
+
+
+def test_ids_are_those_of_the_library():
+    rng = random.Random(7)
+    parts = ["a", "B", "é", "É", "ß", " ", "  ", "\n", "\t", "!", "!!", "...", "1", "23", "'s", "'", "don't", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "日本", "İ", "×", "÷", "\u0301", "\u0338", "<", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "Σ", "ǅ", "Ⱥ", "ſ", "\u212a", "ﬁ", "👍", "½", "٣", "Ⅷ", "_", "\x7f", "\r", "\x0b", "Š", "ª"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["hello <|endoftext|> x", "a<|endoftext|>b", "<|ENDOFTEXT|>", None]
+    own = tokenfiles._tokenizer(WORD)
+    assert own.fits
+    ids, n = own.ids(pa.array(texts))
+    want = [c.ids for c in Tokenizer.from_file(WORD).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert want[4000][1] == 49407 and 49407 in want[4001]
 
 
 # byte-level BPE
@@ -153,12 +191,31 @@ def test_byte_bpe(docs, empty):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     same([tuple(r) for r in bpe.round_trip(docs, BPE, P.PATTERN).collect()], want)
     assert bpe.round_trip(empty, BPE, P.PATTERN).count() == 0
+    both = bpe.decode(bpe.encode(docs, BPE, P.PATTERN), BPE).collect()
+    same([(r["doc_id"], len(r["ids"]), bytes(r["decoded"])) for r in both], [(i, n, (t or "").encode()) for (i, t), (_, n, _, _) in zip(pairs(docs), want)])
+
+
+def test_vocabulary_saves_work_and_changes_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 10_000)
+    known = bpe.vocabulary(docs.union(docs).repartition(4), BPE, P.PATTERN)
+    assert len(known.sizes) > 5 and sum(known.sizes) > 20
+    texts = pa.array([t for _, t in pairs(docs)], pa.string())
+    table = bpe.merges(BPE)
+    want = bpe.encode_texts(texts, table, P.PATTERN)
+    distinct = bpe._units(texts).encoded()[1].to_pylist()
+    rows, _, _ = known.look_up(bpe._hashes(distinct))
+    assert len(rows) > 0.5 * len(distinct)
+    for own in (known, bpe.Vocabulary(known.folder, tuple(0 for _ in known.sizes))):
+        got = bpe.encode_texts(texts, table, P.PATTERN, own)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    # units of equal hashes are told apart by their bytes
+    monkeypatch.setattr(bpe, "_hashes", lambda units: np.full(len(units), np.fromfile(f"{known.folder}/hashes-0".removeprefix("file:"), "<u8")[0]))
+    got = bpe.encode_texts(texts, table, P.PATTERN, known)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
 def test_byte_bpe_of_odd_texts():
     enc, table = tiktokens(), bpe.merges(BPE)
-    import random
-
     rng = random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "\r\n", "\t", "é", "中", " ", " ", "　", "\x1c", "\x85", "\x0b", "1", "'s", "'ll", "👍", "é", "​", "aaaa", "ThE", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
@@ -185,34 +242,79 @@ def test_merge_replay_equals_the_plain_form_for_any_ranks():
 # language model
 
 
-def test_language_model(spark, docs):
+class PlainKneserNey:
+    """The model by dictionaries of tuples; the end is None and the start "<s>" with a blank that no word has."""
+
+    def __init__(self, texts, order):
+        self.order, self.one = order, collections.Counter(w for t in texts for w in t)
+        self.tokens, self.kinds = sum(self.one.values()), len(self.one)
+        grams = [None] + [collections.Counter() for _ in range(order)]
+        for t in texts:
+            t = ["< s >", *t]
+            for k in range(1, order + 1):
+                grams[k].update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+        self.adjusted = [None] * (order + 1)
+        self.adjusted[order] = grams[order]
+        for k in range(order - 1, 0, -1):
+            self.adjusted[k] = collections.Counter(g[1:] for g in grams[k + 1])
+            if k > 1:
+                self.adjusted[k].update({g: c for g, c in grams[k].items() if g[0] == "< s >"})
+        self.d = [None] + [kneser_ney._discounts([sum(c == j for c in self.adjusted[k].values()) for j in (1, 2, 3, 4)]) for k in range(1, order + 1)]
+        self.sums = [None] + [collections.defaultdict(lambda: [0, 0.0]) for _ in range(order)]
+        for k in range(1, order + 1):
+            for g, c in self.adjusted[k].items():
+                own = self.sums[k][g[:-1]]
+                own[0] += c
+                own[1] += self.d[k][min(c, 3) - 1]
+
+    def p(self, context, word):
+        k = len(context) + 1
+        total, mass = self.sums[k][context] if context in self.sums[k] else (0, 0)
+        lower = self.p(context[1:], word) if k > 1 else 1 / (self.kinds + 1)
+        if not total:
+            return lower
+        c = self.adjusted[k][(*context, word)]
+        return (max(c - self.d[k][min(c, 3) - 1], 0) if c else 0) / total + mass / total * lower
+
+    def score(self, t):
+        t = ["< s >", *t]
+        return sum(math.log10(self.p(tuple(t[max(0, i - self.order + 1) : i]), t[i])) for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("order,half,tokens", [(2, 1 << 32, 2_500_000), (3, 1 << 32, 300), (3, 4, 2_500_000), (4, 1 << 32, 900)])
+def test_language_model(spark, docs, monkeypatch, order, half, tokens):
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", tokens)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
-    model = kneser_ney.train(docs.filter(~held))
+    model = kneser_ney.train(docs.filter(~held), order, half)  # 4: as with more n-grams than 32 bits can number
     rows = pairs(docs)
-    tokens = [[*SPACED.findall(low(t)), None] for _, t in rows]
-    train = [w for (i, _), w in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 10]
-    one, two = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(["<s>", *t], t))
-    n, v = sum(one.values()), len(one)
-    before, begins, kinds = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, b), c in two.items():
-        before[b] += 1
-        begins[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    d2 = kneser_ney._discounts([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)])
-    d1 = kneser_ney._discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    mass = sum(d1[min(c, 3) - 1] for c in before.values()) / len(two)
-    cut = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
-    single = lambda w: cut(before[w], d1) / len(two) + mass / (v + 1)
-    back = lambda a: sum(x * k for x, k in zip(d2, kinds[a])) / begins[a]
-    p = lambda a, b: cut(two[a, b], d2) / begins[a] + back(a) * single(b) if begins[a] else single(b)
+    texts = [[*SPACED.findall(low(t)), None] for _, t in rows]
+    plain = PlainKneserNey([w for (i, _), w in zip(rows, texts) if i is None or zlib.crc32(str(i).encode()) % 10], order)
     got = {(r["doc_id"], r["n_tokens"], r["n_known"]): (r["base_score"], r["score"]) for r in kneser_ney.score(docs, model).collect()}
-    assert model.tokens == n
-    for (i, _), t in zip(rows, tokens):
-        base, own = got[i, len(t), sum(one[w] > 0 for w in t)]
-        assert base == pytest.approx(sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert own == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t)))
-    for a in list(begins)[:5]:
-        assert sum(p(a, b) for b in one) + back(a) * mass / (v + 1) == pytest.approx(1)
+    assert model.tokens == plain.tokens
+    for (i, _), t in zip(rows, texts):
+        base, own = got[i, len(t), sum(plain.one[w] > 0 for w in t)]
+        assert base == pytest.approx(sum(math.log10((plain.one[w] + 0.1) / (plain.tokens + 0.1 * (plain.kinds + 1))) for w in t))
+        assert own == pytest.approx(plain.score(t), rel=1e-9)
+    for g in list(plain.adjusted[order])[:5]:
+        unknown = "no word of these"
+        assert sum(plain.p(g[:-1], w) for w in [*plain.one, unknown]) == pytest.approx(1)
+
+
+def test_sums_of_keys():
+    rng = np.random.default_rng(0)
+    for high in (5, 1 << 40):
+        a, b = rng.integers(0, 5, 400) * high, rng.integers(0, 5, 400)
+        x, y, c = kneser_ney._summed(a, b, np.ones(400, np.int64))
+        want = collections.Counter(zip(a.tolist(), b.tolist()))
+        assert list(zip(x.tolist(), y.tolist())) == sorted(want) and c.tolist() == [want[k] for k in sorted(want)]
+
+
+def test_counts_beyond_a_byte(spark):
+    """Counts are never cut off."""
+    docs = spark.createDataFrame([(k, "a b " * 200) for k in range(3)], "doc_id long, text string")
+    model = kneser_ney.train(docs)
+    assert model.counts("word-counts", 1, np.array([0, 1])).tolist() == [600, 600]
+    assert sorted(model.contexts(1, np.array([0, 1]))[:, 0].tolist()) == [600, 600]
 
 
 def test_language_model_of_nothing(spark, docs, empty):
@@ -410,16 +512,31 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     s = toxicity.apply(table, index).join(labels, "doc_id").filter(held)
     counts = {(r["hit"], r["toxic"]): r["count"] for r in s.groupBy((F.col("score") >= 0.5).alias("hit"), "toxic").count().collect()}
     assert counts[True, 1] > 4 * counts.get((False, 1), 0) and counts.get((True, 0), 0) < 0.02 * counts[False, 0]
-    # the nearest neighbours are those of a search without an index
+    assert counts[True, 1] >= 85 and counts[True, 0] <= 8
+    # chances are what they say: of documents scored alike, about that share is toxic
+    bins = s.groupBy(F.floor(F.least(F.col("score"), F.lit(0.999)) * 3).alias("bin")).agg(F.avg("score").alias("said"), F.avg("toxic").alias("seen"), F.count("*").alias("n")).collect()
+    assert len(bins) == 3
+    for r in bins:  # within two and a half standard errors
+        assert abs(r["said"] - r["seen"]) < 0.01 + 2.5 * math.sqrt(r["said"] * (1 - r["said"]) / r["n"])
+    # the nearest neighbours, their votes and the scores are those of a search without an index
     texts = [r["text"] for r in table.limit(300).collect()]
     owner, term, times, _ = toxicity._occurrences(pa.array(texts), index.number)
-    rows, best, _ = index.nearest(owner, term, times, 15)
+    rows, best, which, votes = index.nearest(owner, term, times, 15)
+    scores, evidence = index.score(pa.array(texts), 15)
     matrix = index.postings.reshape(len(index.number), -1)[:, : len(index.ids)].astype(float)
-    for r, b in zip(rows, best):
+    for r, b, v in zip(rows, best, votes):
         q = np.zeros(len(index.number))
         q[term[owner == r]] = index._unit(term[owner == r], times[owner == r])
-        want = np.sort(q @ matrix)[::-1][:15]
+        every = q @ matrix
+        want = np.sort(every)[::-1][:15]
         assert np.allclose(np.maximum(b, 0)[: len(want)], want, atol=1e-5)
+        near = (every > 1e-9) & (every >= want[-1] - 2e-6)
+        mine = [(every[near] ** 2 * index.labels[near]).sum(), (every[near] ** 2).sum()]
+        assert np.allclose(v, mine, atol=1e-3)
+        share = (mine[0] + toxicity.PRIOR * index.rate) / (mine[1] + toxicity.PRIOR)
+        assert scores[r] == pytest.approx(1 / (1 + math.exp(-index.slope * math.log(share / (1 - share)) - index.shift)), abs=1e-3)
+        assert [e["similarity"] for e in evidence[r]] == pytest.approx([x for x in want[:3] if x > 0], abs=1e-5)
+    assert (np.delete(scores, rows) == index.bare).all()
     assert toxicity.apply(docs, index).count() == docs.count() and toxicity.apply(empty, index).count() == 0
     kept = toxicity.without_toxic(docs, index)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
@@ -427,6 +544,19 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert toxicity.apply(docs, none).count() == docs.count()
 
 
+def test_votes_dont_depend_on_ids():
+    """More examples tie for the last place than fit: all of them vote, whatever their ids are."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(2)), *terms) for terms in (([0], [1]), ([0, 1], [1, 1]), ([2], [3])) for _ in range(60)]
+    texts, found = pa.array(["alpha", "alpha beta", "gamma", "alpha gamma", "none", None, ""]), []
+    for seed in range(3):
+        ids = np.random.default_rng(seed).permutation(10_000)[: len(rows)].tolist()
+        index = toxicity.Index([(b"alpha", 1.0), (b"beta", 2.0), (b"gamma", 1.5)], sorted((i, *r) for i, r in zip(ids, rows)))
+        index.calibrate(15)
+        found.append(index.score(texts, 15)[0])
+    assert np.allclose(found[0], found[1], atol=1e-9) and np.allclose(found[0], found[2], atol=1e-9)
+
+
 def test_toxicity_keeps_all_telling_terms(spark):
     """More telling words than the 128 places that the space once had; beginnings that say the same don't count."""
     many = spark.createDataFrame([(k, int(k % 2), f"w{k % 200:03d}x common") for k in range(40_000)], "doc_id long, label int, text string")
