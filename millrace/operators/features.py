@@ -31,7 +31,15 @@ VIEW_NAMES = ["View", "Panoramic"]
 
 def tag_features(tags: Column) -> dict[str, Column]:
     """Mobile, pet and leisure flags, party code, nights and room tag of a list written as text."""
-    items = quoted_items(tags)
+    return _of_items(quoted_items(tags))
+
+
+def with_tag_features(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the columns of ``tag_features``; the list is cut up once for all of them."""
+    return df.withColumn("__items", quoted_items(F.col(column))).withColumns(_of_items(F.col("__items"))).drop("__items")
+
+
+def _of_items(items: Column) -> dict[str, Column]:
     party = F.filter(items, lambda x: x.isin(list(PARTY_CODES)))
     codes = F.create_map(*[F.lit(x) for pair in PARTY_CODES.items() for x in pair])
     nights = F.filter(items, lambda x: x.rlike(f"^(?:{NIGHTS_PATTERN})$"))

@@ -56,9 +56,14 @@ def histogram(df: DataFrame, column: str, width: float, bins: int) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def box(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles, the fences 1.5 times the quartile distance beyond them, and the number of values outside."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+def box(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
+    """Quartiles, the fences 1.5 times the quartile distance beyond them, and the number of values outside.
+
+    Exact quartiles keep every distinct value in one buffer; with an ``accuracy`` they come from a sketch of bounded size, with
+    ranks off by one in that many at most.
+    """
+    places = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = df.agg((F.percentile(column, places) if accuracy is None else F.percentile_approx(F.col(column).cast("double"), places, F.lit(accuracy))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     fences = q.withColumns({"low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     outside = df.join(F.broadcast(fences)).agg(F.count_if((F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))).alias("n_outside"))
     return fences.join(F.broadcast(outside))

@@ -1,14 +1,13 @@
 """Lexicon-based polarity of texts, after the published rules of Hutto and Gilbert (ICWSM 2014).
 
-The lexicon is a table (token, valence) of the caller.  Words are counted by text before the lexicon joins them where order
-doesn't matter; rules about neighbours use windows within a text.
+The lexicon is a table (token, valence) of the caller.  A key names one text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Published constants: normalisation, scale of a negated valence, step of an intensifier and what is left of it two and
@@ -28,52 +27,83 @@ def compound(total: Column) -> Column:
     return total / F.sqrt(total * total + ALPHA)
 
 
+def _words(text: Column, pattern: str) -> Column:
+    return F.filter(F.split(text, pattern), lambda x: x != "")
+
+
+def _shares(positive: Column, negative: Column, zeros: Column) -> dict[str, Column]:
+    """The shares neg, neu and pos of a text; a word counts with its valence and one more, one without valence with one."""
+    whole = F.nullif(positive + F.abs(negative) + zeros, F.lit(0.0))
+    return {"neg": F.round(F.abs(negative / whole), 3), "neu": F.round(zeros / whole, 3), "pos": F.round(positive / whole, 3)}
+
+
 def lexicon_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, pattern: str = r"[^\p{L}]+") -> DataFrame:
-    """(key, n_hits, total, compound) of the texts that have a word of the lexicon."""
-    words = df.select(key, F.explode(F.split(F.lower(F.col(text)), pattern)).alias("token")).filter(F.col("token") != "")
-    counts = words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("times"))
-    hits = counts.join(lexicon, "token").groupBy(key).agg(F.sum("times").alias("n_hits"), F.sum(F.col("times") * F.col("valence")).alias("total"))
-    return hits.select(key, "n_hits", F.round("total", 6).alias("total"), F.round(compound(F.col("total")), 4).alias("compound"))
+    """(key, n_hits, total, neg, neu, pos, compound) of the texts that have a word of the lexicon.
+
+    Words meet the lexicon before anything is grouped, so that only hits are shuffled where the lexicon is small.
+    """
+    words = df.select(key, _words(F.lower(F.col(text)), pattern).alias("__w"))
+    tokens = words.select(key, F.size("__w").alias("__n"), F.explode("__w").alias("token"))
+    v = F.col("valence")
+    hits = tokens.join(lexicon, "token").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.sum(v).alias("total"),
+        F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("__p"),
+        F.sum(F.when(v < 0, v - 1).otherwise(0.0)).alias("__m"),
+        (F.first("__n") - F.count_if(v != 0)).cast("double").alias("__z"),
+    )
+    shares = _shares(F.col("__p"), F.col("__m"), F.col("__z"))
+    return hits.select(key, "n_hits", F.round("total", 6).alias("total"), *[c.alias(k) for k, c in shares.items()], F.round(compound(F.col("total")), 4).alias("compound"))
 
 
 def context_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, negators: Sequence[str], boosters: dict[str, int]) -> DataFrame:
     """(key, neg, neu, pos, compound) of every text with a word.
 
     A valence changes with the three words before it (negators; boosters, +1 or -1, toward the word's sign), with capitals in
-    a text that isn't all capitals, and with its side of the last "but"; ! and ? add emphasis to the whole.
+    a text that isn't all capitals, and with its side of the last "but"; ! and ? add emphasis to the whole.  Each word takes
+    what the rules need of its neighbours along before it becomes a row, so no row holds a text and nothing needs a window;
+    only words of the lexicon are grouped.
     """
+    marks = lambda c: F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))
     parts = F.split(F.regexp_replace(F.col(text), r"^[^\p{L}']+|[^\p{L}']+$", ""), r"[^\p{L}']+")
-    words = df.select(key, text, F.posexplode(parts).alias("pos", "raw")).filter(F.col("raw") != "").withColumn("token", F.lower("raw"))
-    boost = F.create_map(*[F.lit(x) for k, v in boosters.items() for x in (k, float(v))]) if boosters else None
-    caps = (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw")) & (F.length("raw") > 1)
-    scored = words.join(lexicon, "token", "left").withColumns({"valence": F.coalesce("valence", F.lit(0.0)), "caps": caps})
-    order = Window.partitionBy(key).orderBy("pos")
-    whole = Window.partitionBy(key)
+    caps = lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 1)
+    words = df.select(key, F.filter(parts, lambda x: x != "").alias("w"), marks("!").alias("bangs"), marks("?").alias("asks"))
+    words = words.filter(F.size("w") > 0).withColumn("t", F.transform("w", lambda x: F.lower(x)))
+    n = F.size("w")
+    last_but = F.when(F.array_contains("t", "but"), n - F.array_position(F.reverse("t"), "but"))
+    whole = words.withColumns({"n": n, "but": last_but, "all_caps": F.forall("w", caps)})
+    near = lambda i, k: F.get(F.col("t"), i - k).alias(f"b{k}")
+    beside = F.transform("w", lambda x, i: F.struct(F.get(F.col("t"), i).alias("token"), i.alias("pos"), caps(x).alias("caps"), *[near(i, k) for k in DAMPED]))
+    rows = whole.select(key, "but", "all_caps", F.explode(beside).alias("x")).select(key, "but", "all_caps", "x.*").join(lexicon, "token")
     s = F.col("valence")
     sign = F.signum(s)
     s = s + F.when(F.col("caps") & ~F.col("all_caps"), sign * CAPITALS).otherwise(0.0)
+    boost = F.create_map(*[F.lit(x) for k, v in boosters.items() for x in (k, float(v))]) if boosters else None
+    negated = F.lit(False)
     for k, left in DAMPED.items():
-        before = F.lag("token", k).over(order)
         if boost is not None:
-            s = s + F.coalesce(boost[before], F.lit(0.0)) * STEP * left * sign
-    negated = F.lit(False)
-    for k in DAMPED:
-        negated = negated | F.coalesce(F.lag("token", k).over(order).isin(list(negators)), F.lit(False))
+            s = s + F.coalesce(boost[F.col(f"b{k}")], F.lit(0.0)) * STEP * left * sign
+        negated = negated | F.coalesce(F.col(f"b{k}").isin(list(negators)), F.lit(False))
     s = F.when(negated, s * NEGATED).otherwise(s)
-    but = F.max(F.when(F.col("token") == "but", F.col("pos"))).over(whole)
-    s = F.when(F.col("pos") < but, s * BEFORE_BUT).when(F.col("pos") > but, s * AFTER_BUT).otherwise(s)
-    ready = scored.withColumn("all_caps", F.min(F.col("caps").cast("int")).over(whole) == 1)
-    ready = ready.withColumn("s", F.when(F.col("valence") == 0, 0.0).otherwise(s))
-    sums = ready.groupBy(key).agg(
+    s = F.when(F.col("pos") < F.col("but"), s * BEFORE_BUT).when(F.col("pos") > F.col("but"), s * AFTER_BUT).otherwise(s)
+    scored = rows.withColumn("s", F.when(F.col("valence") == 0, 0.0).otherwise(s))
+    sums = scored.groupBy(key).agg(
         F.sum("s").alias("total"),
         F.sum(F.when(F.col("s") > 0, F.col("s") + 1).otherwise(0.0)).alias("p"),
-        F.sum(F.when(F.col("s") < 0, F.col("s") - 1).otherwise(0.0)).alias("n"),
-        F.sum(F.when(F.col("s") == 0, 1.0).otherwise(0.0)).alias("u"),
-        F.first(text).alias("__text"),
+        F.sum(F.when(F.col("s") < 0, F.col("s") - 1).otherwise(0.0)).alias("m"),
+        F.count_if(F.col("s") != 0).alias("hits"),
     )
-    marks = lambda c: F.length("__text") - F.length(F.replace(F.col("__text"), F.lit(c), F.lit("")))
-    emphasis = F.least(marks("!"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION + F.when(marks("?") > 3, MANY_QUESTIONS).when(marks("?") > 1, marks("?") * QUESTION).otherwise(0.0)
-    out = sums.withColumn("e", emphasis).withColumn("t", F.col("total") + F.signum("total") * F.col("e"))
-    out = out.withColumns({"p": F.when(F.col("p") > F.abs("n"), F.col("p") + F.col("e")).otherwise(F.col("p")), "n": F.when(F.abs("n") > F.col("p"), F.col("n") - F.col("e")).otherwise(F.col("n"))})
-    all_ = F.nullif(F.col("p") + F.abs("n") + F.col("u"), F.lit(0.0))
-    return out.select(key, F.round(F.abs(F.col("n") / all_), 3).alias("neg"), F.round(F.col("u") / all_, 3).alias("neu"), F.round(F.col("p") / all_, 3).alias("pos"), F.round(compound(F.col("t")), 4).alias("compound"))
+    every = words.groupBy(key).agg(F.sum(n).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks")).join(sums, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    emphasis = F.least("bangs", F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION + F.when(F.col("asks") > 3, MANY_QUESTIONS).when(F.col("asks") > 1, F.col("asks") * QUESTION).otherwise(0.0)
+    out = every.withColumns({"total": zero("total"), "p": zero("p"), "m": zero("m"), "u": F.col("n") - F.coalesce("hits", F.lit(0)), "e": emphasis})
+    p = F.when(F.col("p") > F.abs("m"), F.col("p") + F.col("e")).otherwise(F.col("p"))
+    m = F.when(F.abs("m") > F.col("p"), F.col("m") - F.col("e")).otherwise(F.col("m"))
+    shares = _shares(p, m, F.col("u").cast("double"))
+    return out.select(key, *[c.alias(k) for k, c in shares.items()], F.round(compound(F.col("total") + F.signum("total") * F.col("e")), 4).alias("compound"))
+
+
+def word_scores(df: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:
+    """(phrase, n_hits, total, neg, neu, pos, compound) of each distinct word or phrase of a column on its own."""
+    phrases = df.select(F.lower(F.col(column)).alias("phrase")).filter(F.col("phrase") != "").distinct()
+    return lexicon_score(phrases, "phrase", "phrase", lexicon)

@@ -405,6 +405,13 @@ def html_link_extract(t):
     return links.filter(F.col("pos") > 0)
 
 
+@query("WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '<a[^>]*>([^<]*)</a>', 1) AS a FROM pages) SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, a[pos] AS link FROM (SELECT *, generate_subscripts(a, 1) AS pos FROM l)")
+def html_table_links(t):
+    # the pages have lists and no tables: each list becomes a table of one class, each item a row
+    table = strings.replace_each(F.col("html"), {"<ul>": '<table border="1" class="wide standard">', "</ul>": "</table>", "<li>": "<tr class='x'>\n <td>", "</li>": "</td> </tr>"})
+    return t.pages.select("page_id", F.posexplode(strings.table_links(table, "standard")).alias("pos", "link"))
+
+
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text FROM documents")
 def src_csv_roundtrip(t):
     import uuid
@@ -442,7 +449,7 @@ def feat_ordinal_code(t):
   coalesce(room, CASE WHEN pet THEN '{features.PET_TAG}' WHEN mobile THEN '{features.MOBILE_TAG}' ELSE 'Stayed ' || nights || CASE WHEN nights = 1 THEN ' night' ELSE ' nights' END END) AS room_tag FROM parts"""
 )
 def feat_tags(t):
-    return t.tagged.withColumns(features.tag_features(F.col("tags"))).drop("tags", "l_quantity")
+    return features.with_tag_features(t.tagged, "tags").drop("tags", "l_quantity")
 
 
 @query(
@@ -451,8 +458,8 @@ def feat_tags(t):
   WHEN 'Deluxe King Room' THEN 'Deluxe' WHEN 'Room without Window' THEN 'without Window' ELSE 'Other' END AS room_type, CAST(coalesce(room = 'Suite with Sea View', FALSE) AS INTEGER) AS has_view FROM parts"""
 )
 def feat_first_match_class(t):
-    tag = features.tag_features(F.col("tags"))["room_tag"]
-    return t.tagged.select("l_orderkey", "l_linenumber", "l_partkey", features.room_type(tag).alias("room_type"), features.has_view(tag).alias("has_view"))
+    tag = F.col("room_tag")
+    return features.with_tag_features(t.tagged, "tags").select("l_orderkey", "l_linenumber", "l_partkey", features.room_type(tag).alias("room_type"), features.has_view(tag).alias("has_view"))
 
 
 @query(
@@ -483,7 +490,10 @@ def feat_top_tags(t):
 # Polarity -------------------------------------------------------------------------------------------------------------
 
 _VALUES = "(VALUES " + ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in LEXICON) + ") AS v(token, valence)"
-_SCORE = "h AS (SELECT doc_id, count(*) AS n_hits, sum(valence) AS total FROM words JOIN lexicon USING (token) GROUP BY doc_id) SELECT doc_id, n_hits, round(total, 6) AS total, round(total / sqrt(total * total + 15), 4) AS compound FROM h"
+_SCORE = """n AS (SELECT doc_id, count(*) AS n FROM words WHERE token <> '' GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS n_hits, sum(valence) AS total, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0 END) AS m, count(*) FILTER (valence <> 0) AS k
+  FROM words JOIN lexicon USING (token) GROUP BY doc_id)
+SELECT doc_id, n_hits, round(total, 6) AS total, round(m / (p + m + n - k), 3) AS neg, round(CAST(n - k AS DOUBLE) / (p + m + n - k), 3) AS neu, round(p / (p + m + n - k), 3) AS pos, round(total / sqrt(total * total + 15), 4) AS compound FROM h JOIN n USING (doc_id)"""
 
 
 def _lexicon(t) -> DataFrame:
@@ -501,6 +511,21 @@ def text_lexicon_override(t):
     return sentiment.lexicon_score(t.documents, "doc_id", "text", sentiment.overridden(_lexicon(t), changes))
 
 
+@query(
+    f"""WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS token FROM documents)
+SELECT token AS phrase, CAST(1 AS BIGINT) AS n_hits, valence AS total, CASE WHEN valence < 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS neg, CAST(0 AS DOUBLE) AS neu, CASE WHEN valence > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS pos,
+  round(valence / sqrt(valence * valence + 15), 4) AS compound FROM words JOIN {_VALUES} USING (token)"""
+)
+def text_word_probe(t):
+    words = t.documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    return sentiment.word_scores(words, "word", _lexicon(t))
+
+
+@query("SELECT doc_id, replace(replace(text, 'The ', 'Positive '), 'And ', '') AS text FROM documents")
+def text_placeholders(t):
+    return t.documents.select("doc_id", strings.replace_each(F.col("text"), {"The ": "Positive ", "And ": ""}).alias("text"))
+
+
 @query()
 def text_lexicon_context(t):
     return sentiment.context_score(t.documents, "doc_id", "text", _lexicon(t), ["not", "is"], {"in": 1, "for": -1})
@@ -552,34 +577,53 @@ def ml_split_counts(t):
     return model.split_counts(t.lineitem, "l_orderkey")
 
 
-_FEATURES = ["p_partkey", "p_size"]
+_CANDIDATES = ["p_size", "brand", "kind", "lines", "quantity", "discount", "tax", "returned"]
+_TARGET = "total"
+
+
+def _parts(t) -> DataFrame:
+    """Parts with codes of their categories, what their line items say, and what these cost in all."""
+    lines = t.lineitem.groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").alias("quantity"),
+        F.avg("l_discount").alias("discount"),
+        F.avg("l_tax").alias("tax"),
+        F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"),
+        F.sum("l_extendedprice").alias(_TARGET),
+    )
+    coded = features.ordinal_code(features.ordinal_code(t.part, "p_brand", "brand"), "p_type", "kind")
+    return coded.join(lines, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name", "p_brand", *_CANDIDATES, _TARGET)
 
 
 def _fitted(t):
-    parts = t.part.select("p_partkey", "p_size", "p_retailprice", "p_brand")
-    return parts, model.fit(parts.filter(model.in_training("p_partkey")), _FEATURES, "p_retailprice", trees=20, depth=10)
+    """(the parts, the features that are left after screening, a forest fitted to the training part of them)."""
+    parts = _parts(t)
+    train = parts.filter(model.in_training("p_partkey"))
+    drop = {r[0] for r in stats.collinear(stats.pearson(train, _CANDIDATES), 0.9).collect()}
+    names = [c for c in _CANDIDATES if c not in drop]
+    return parts, names, model.fit(train, names, _TARGET)
 
 
 @query()
 def ml_rf_eval(t):
-    parts, forest = _fitted(t)
-    return stats.mape(model.predict(parts.filter(~model.in_training("p_partkey")), forest, _FEATURES), "p_retailprice", "prediction")
+    parts, names, forest = _fitted(t)
+    return stats.mape(model.predict(parts.filter(~model.in_training("p_partkey")), forest, names), _TARGET, "prediction")
 
 
 @query()
 def ml_predict_join(t):
-    parts, forest = _fitted(t)
-    predicted = model.predict(parts, forest, _FEATURES).select("p_partkey", "prediction")
+    parts, names, forest = _fitted(t)
+    predicted = model.predict(parts, forest, names).select("p_partkey", "prediction")
     return t.part.join(predicted, "p_partkey").select("p_partkey", "p_name", "prediction")
 
 
 @query()
 def ml_importances(t):
-    parts, forest = _fitted(t)
-    return model.importances(parts, forest, _FEATURES)
+    parts, names, forest = _fitted(t)
+    return model.importances(parts, forest, names)
 
 
 @query()
 def ml_residual_rank(t):
-    parts, forest = _fitted(t)
-    return model.residual_rank(model.predict(parts, forest, _FEATURES), "p_brand", "p_retailprice", "prediction", 10)
+    parts, names, forest = _fitted(t)
+    return model.residual_rank(model.predict(parts, forest, names), "p_brand", _TARGET, "prediction", 10)

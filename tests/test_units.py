@@ -123,6 +123,53 @@ def test_context_rules(spark):
     assert got["good"].pos == 1
 
 
+def test_shares_of_words(spark):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0), ("flat", 0.0)], "token string, valence double")
+    df = spark.createDataFrame([(1, "Good, good bad thing"), (2, "nothing"), (3, "flat BAD"), (4, None), (5, "")], "id int, text string")
+    got = {r.id: r for r in sentiment.lexicon_score(df, "id", "text", lexicon).collect()}
+    assert set(got) == {1, 3}
+    assert (got[1].n_hits, got[1].total, got[1].neg, got[1].neu, got[1].pos) == (3, 3.0, round(2 / 9, 3), round(1 / 9, 3), round(6 / 9, 3))
+    assert (got[3].n_hits, got[3].neg, got[3].neu, got[3].pos) == (2, round(2 / 3, 3), round(1 / 3, 3), 0.0)
+    probe = {r.phrase: r.compound for r in sentiment.word_scores(df, "text", lexicon).collect()}
+    assert set(probe) == {"good, good bad thing", "flat bad"}
+
+
+def test_context_has_no_texts_beside_words(spark):
+    """What is exploded, joined and shuffled for each word holds no text, and no window runs over a text's words."""
+    df = spark.createDataFrame([(1, "good word " * 50)], "id int, text string")
+    lexicon = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    plan = sentiment.context_score(df, "id", "text", lexicon, ["not"], {"very": 1})._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :].splitlines()[1]  # what every word's row repeats comes from here
+    assert "Window" not in plan and "Project" in below and below.split("forall")[0].count("text#") == 0
+
+
+def test_table_links(spark):
+    page = """<table class=other><tr><td><a>no</a></td></tr></table><TABLE id="t" class="wide standard">
+    <tr><th>Name</th></tr><tr class="r"><td> <a href="/x" title='y'>\n <b>One</b> company </a></td><td><a>second</a></td></tr>
+    <tr><td>none</td></tr><tr><td><a>Two</a></td></tr></table><table class="standard"><tr><td><a>later</a></td></tr></table>"""
+    assert one(spark, page, strings.table_links(F.col("x"), "standard")) == ["One company", "Two"]
+    assert one(spark, "<p>", strings.table_links(F.col("x"), "standard")) == []
+    assert one(spark, page, strings.table_links(F.col("x"), "stand")) == []
+
+
+def test_jdbc(spark, tmp_path):
+    """Over the database that Spark brings along."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(200).selectExpr("id", "cast(id * 7 % 10 as int) as v")
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows.repartition(1).write.jdbc(url, "numbers", properties={"driver": driver})
+    table = sources.read_jdbc(spark, url, "numbers", "id", 0, 200, 4, driver=driver)
+    assert table.rdd.getNumPartitions() == 4
+    few = table.filter("v = 7")
+    assert "PushedFilters: [*IsNotNull(v), *EqualTo(v,7)]" in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in few.collect()) == [k for k in range(200) if k * 7 % 10 == 7]
+
+
+def test_box_from_a_sketch(spark):
+    exact, near = (profile.box(spark.range(10_001).selectExpr("cast(id as double) v"), "v", a).first() for a in (None, 1000))
+    assert (exact.q1, exact.median, exact.q3) == (2500, 5000, 7500) and all(abs(a - b) <= 10 for a, b in zip(exact[:3], near[:3]))
+
+
 def test_lexicon_override(spark):
     lexicon = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "token string, valence double")
     changes = spark.createDataFrame([("b", -9.0), ("c", 3.0)], "token string, valence double")
