@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from millrace.llm.scratch import stored
 MOST, NEAREST, BLOCK = 16_384, 15, 64
 #: Occurrences that are bounded at once.
 _AT_ONCE = 1 << 14
+#: Bytes of text that are looked at together.
+_BLOCK = 3 << 20
 #: Cosines that differ by less are equal.
 _TIE = np.float32(2e-6)
 #: Weight of the shares as they are in the fit of the curve.
@@ -46,7 +49,7 @@ PRIOR = 0.3
 _STEMS = range(3, 9)
 _EVIDENCE = "array<struct<doc_id: bigint, similarity: double, label: int>>"
 #: ASCII characters that are no part of a word at its ends.
-_EDGES = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_EDGES = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 
 
 def _terms_of(word: bytes) -> list[bytes]:
@@ -54,24 +57,48 @@ def _terms_of(word: bytes) -> list[bytes]:
     return [word, *(text[:k].encode() + b"*" for k in _STEMS if k < len(text))]
 
 
+def _all_terms(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word, term) of all terms of the words, by word, and the terms."""
+    number: dict[bytes, int] = {}
+    found, n = [], np.zeros(len(words), np.int64)
+    for k, word in enumerate(words.cast(pa.binary()).to_pylist()):
+        own = [number.setdefault(t, len(number)) for t in _terms_of(word)] if word else []
+        found += own
+        n[k] = len(own)
+    return np.repeat(np.arange(len(words)), n), np.array(found, np.int64), list(number)
+
+
+def _known_terms(words: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, term) of the known terms of the words, by word: words and beginnings of one length are looked up together."""
+    length, rows, terms = pc.utf8_length(words), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in (None, *_STEMS):
+        # a word that ends in * itself isn't a beginning: edges are taken off
+        names = [t for t in known if t.endswith(b"*") and len(t.decode()) == k + 1] if k else [t for t in known if not t.endswith(b"*")]
+        if not names:
+            continue
+        cut = words if k is None else pc.if_else(pc.greater(length, k), pc.utf8_slice_codeunits(words, 0, k), None)
+        place = pc.index_in(cut, pa.array([t.decode().removesuffix("*") for t in names], pa.string()), skip_nulls=True)
+        hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        rows.append(hit)
+        terms.append(np.array([known[t] for t in names], np.int64)[place.take(pa.array(hit)).to_numpy(zero_copy_only=False)])
+    row, term = np.concatenate(rows), np.concatenate(terms)
+    order = np.argsort(row, kind="stable")
+    return row[order], term[order]
+
+
 def _occurrences(texts: pa.Array, known: dict[bytes, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(text, term, times) of all terms of all texts by text and term, and the terms; only ``known`` ones if given."""
     words = blocks.split(texts, blocks.NON_SPACE, blocks.LOWER)
     which, distinct = words.encoded()
-    number = {} if known is None else known
-    of_word, n = [], np.zeros(len(distinct), np.int64)
-    for k, word in enumerate(distinct.to_pylist()):
-        bare = word.strip(_EDGES)
-        terms = _terms_of(bare) if bare else []
-        found = [number.setdefault(t, len(number)) for t in terms] if known is None else [number[t] for t in terms if t in number]
-        of_word += found
-        n[k] = len(found)
-    first, pool = np.cumsum(n) - n, np.array(of_word, np.int64)
-    term = pool[blocks.ragged(first[which], n[which])]
-    pairs = np.sort(np.repeat(words.text_of_word(), n[which]) * max(len(number), 1) + term)
+    bare = pc.utf8_trim(distinct.cast(pa.string()), characters=_EDGES)
+    row, of_word, terms = _all_terms(bare) if known is None else (*_known_terms(bare, known), list(known))
+    n = np.bincount(row, minlength=len(distinct))
+    first = np.cumsum(n) - n
+    term = of_word[blocks.ragged(first[which], n[which])]
+    pairs = np.sort(np.repeat(words.text_of_word(), n[which]) * max(len(terms), 1) + term)
     fresh = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
     times = np.diff(np.append(fresh, len(pairs)))
-    return pairs[fresh] // max(len(number), 1), pairs[fresh] % max(len(number), 1), times, list(number)
+    return pairs[fresh] // max(len(terms), 1), pairs[fresh] % max(len(terms), 1), times, terms
 
 
 def longest(counts: dict[bytes, tuple]) -> list[bytes]:
@@ -90,7 +117,7 @@ def choose_terms(examples: DataFrame) -> list[bytes]:
         return []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 2 << 20):
+        for batch in blocks.slices(batches, "text", _BLOCK):
             text, term, _, terms = _occurrences(batch.column(0), None)
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
             both = [pa.array(np.bincount(term[label == k], minlength=len(terms))) for k in (1, 0)]
@@ -115,7 +142,7 @@ def weighted(docs: DataFrame, terms: list[bytes]) -> list[tuple[bytes, float]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(number) + 1, np.int64)  # the last is that of all rows
-        for batch in blocks.slices(batches, "text", 2 << 20):
+        for batch in blocks.slices(batches, "text", _BLOCK):
             n[:-1] += np.bincount(_occurrences(batch.column(0), number)[1], minlength=len(number))
             n[-1] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["term", "n"])
@@ -271,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     number = {t: k for k, (t, _) in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 2 << 20):
+        for batch in blocks.slices(batches, "text", _BLOCK):
             owner, term, times, _ = _occurrences(batch.column(0), number)
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (term, times)]
@@ -289,7 +316,7 @@ def apply(docs: DataFrame, index: Index, k: int = NEAREST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        for batch in blocks.slices(batches, "text", 2 << 20):
+        for batch in blocks.slices(batches, "text", _BLOCK):
             scores, evidence = sent.value.score(batch.column(1), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -301,7 +328,7 @@ def without_toxic(docs: DataFrame, index: Index, cut: float = 0.5, k: int = NEAR
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.slices(batches, "text", 2 << 20):
+        for batch in blocks.slices(batches, "text", _BLOCK):
             scores, _ = sent.value.score(batch.column(batch.schema.get_field_index("text")), k)
             yield batch.filter(pa.array(scores < cut))
 
