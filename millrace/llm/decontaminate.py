@@ -332,4 +332,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the items occurs."""
     keyed = docs.select(row_key().alias("doc_id"), "text")
     hit = contamination(build_index(keyed), items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("key")).distinct()
-    return unpacked(packed(docs).join(stored(hit, "contaminated"), "key", "left_anti"), docs.columns)
+    # a clean row goes if it shares 64 bits with a contaminated one: one in 2 ** 64 for each pair of the two kinds
+    rows = packed(docs).withColumn("key", F.col("key.a"))
+    return unpacked(rows.join(stored(hit, "contaminated"), "key", "left_anti"), docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import packed, row_key, stored, unpacked
+from millrace.llm.scratch import packed, stored, unpacked, wide_key
 
 SITES, MIN_WORDS = 5, 3
 #: Sketches of 2 ** LG_K registers; three standard errors of the estimate near ``sites`` are below MARGIN * sites + 1.
@@ -50,7 +50,7 @@ def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> D
 
     What goes depends on a row's id and text alone, so rows meet what goes from them by the hash of both.
     """
-    cut = docs.select(row_key().alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text"), "\n")).alias("l"))
+    cut = docs.select(wide_key().alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text"), "\n")).alias("l"))
     lines = stored(cut.filter(_counts(F.col("l"), min_words)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
     spread, most = boilerplate(lines, sites)
     held = stored(lines.join(_beside(spread, most), "line", "left_semi").select("key", "id", "line").distinct(), "held")

@@ -56,16 +56,22 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(id: str = "doc_id", text: str = "text") -> Column:
-    """A hash of id and text: never null, evenly spread, equal for equal rows.
-
-    Two rows that differ in either share it by a chance of 2 ** -64 for each pair of rows.
-    """
+    """A 64-bit hash of id and text: never null, evenly spread, equal for equal rows."""
     return F.xxhash64(F.col(id).cast("string"), F.lit(0), F.col(text))
 
 
+#: The type of ``wide_key``.
+WIDE = "struct<a: bigint, b: bigint>"
+
+
+def wide_key(id: str = "doc_id", text: str = "text") -> Column:
+    """``row_key`` and a second hash, 128 bits in all: of any number of rows that are likely to be met, no two that differ share it."""
+    return F.struct(row_key(id, text).alias("a"), F.xxhash64(F.col(text), F.lit(1), F.col(id).cast("string")).alias("b"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """(row, key): whole rows as one struct, so that no name of theirs meets a name that an operator uses, and their ``row_key``."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key"))
+    """(row, key): whole rows as one struct, so that no name of theirs meets a name that an operator uses, and their ``wide_key``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), wide_key().alias("key"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:

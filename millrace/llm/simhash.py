@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks, shared
 from millrace.llm.graph import components
-from millrace.llm.scratch import new_path, packed, partitions, row_key, stored, unpacked
+from millrace.llm.scratch import WIDE, new_path, packed, partitions, stored, unpacked, wide_key
 
 BITS = 64
 #: Buckets up to this size are compared in one matrix, larger ones by pieces of the rest of the fingerprint first.
 MATRIX = 512
+#: Buckets over this are cut by pieces before they are compared, and dealt anew.
+LARGE = 20_000
 #: Candidates (two numbers each) that are sent to every executor at most.
 SENT = 500_000
 
@@ -102,7 +104,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             prints = fingerprints_of(batch.column(2), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, key {WIDE}, fingerprint long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -166,37 +168,106 @@ def _pieces(distance: int, segment: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): edges whose components are those of all links between distinct fingerprints (column ``fingerprint``)."""
+    """(a, b): edges whose components are those of all links between distinct fingerprints (column ``fingerprint``).
+
+    A bucket of more than ``LARGE`` fingerprints isn't compared where it is found: its rows are dealt anew by pieces of the
+    bits outside the bucket's segment, one of which agrees wholly in every link, so a task never holds one.
+    """
+    n = partitions(prints.sparkSession)
     pieces = [_pieces(distance, k) for k in range(len(segments(distance)))]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    # few fingerprints stand on few partitions, and each becomes 64 rows
+    keyed = variants(prints.repartition(n, "fingerprint"), distance)
+    first = stored(_compared(keyed, n, ["segment", "wildcard", "rest"], distance, LARGE), "links")
+    if not any(pieces):  # one segment holds all bits, so no bucket is large
+        return first.select("a", "b")
+    large = first.filter(F.col("segment").isNotNull()).select("segment", "wildcard", "rest", F.col("a").alias("fingerprint"))
+    bits = lambda low, width: F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << width) - 1))
+    cut = None
+    for k, own in enumerate(pieces):
+        listed = F.array(*[F.struct(F.lit(j).alias("piece"), bits(low, width).alias("bits")) for j, (low, width) in enumerate(own)])
+        cut = F.when(F.col("segment") == k, listed) if cut is None else cut.when(F.col("segment") == k, listed)
+    dealt = large.select("segment", "wildcard", "rest", F.explode(cut).alias("p"), "fingerprint").select("segment", "wildcard", "rest", "p.piece", "p.bits", "fingerprint")
+    again = _compared(dealt, n, ["segment", "wildcard", "rest", "piece", "bits"], distance, None)
+    return first.filter(F.col("segment").isNull()).select("a", "b").unionByName(again.select("a", "b"))
+
+
+def _compared(keyed: DataFrame, n: int, keys: list[str], distance: int, large: int | None) -> DataFrame:
+    """(a, b, segment, wildcard, rest): edges of each bucket with nulls after them; of buckets over ``large`` all rows, with nulls for b."""
+    pieces = [_pieces(distance, k) for k in range(len(segments(distance)))]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("segment", pa.int32()), ("wildcard", pa.int32()), ("rest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held, size, passing = [], 0, False  # of the last bucket: its rows so far, or that they are passed on
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, passing
+            if size > 1 and not passing:
+                yield found(np.concatenate(held, axis=1), np.zeros(0, np.int64))
+            held, size, passing = [], 0, False
+
+        last = None
         for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            if not held.shape[1]:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if not rows.shape[1]:
                 continue
-            change = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
-            if len(change):  # the last bucket may go on
-                yield found(held[:, : change[-1]], change[:-1])
-                held = held[:, change[-1] :]
-        if held.shape[1]:
-            yield found(held, np.zeros(0, np.int64))
+            change = np.flatnonzero((rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)) + 1
+            if last is not None and (rows[:-1, 0] != last).any():
+                yield from ended()
+            last = rows[:-1, -1]
+            if len(change):  # the first bucket ends here, those between are whole, the last one may go on
+                head, middle, rows = rows[:, : change[0]], rows[:, change[0] : change[-1]], rows[:, change[-1] :]
+                if passing:
+                    yield passed(head)
+                else:
+                    held.append(head)
+                    size += head.shape[1]
+                    if large and size > large:
+                        yield passed(np.concatenate(held, axis=1))
+                        passing = True
+                yield from ended()
+                if middle.shape[1]:
+                    at = change[:-1] - change[0]
+                    yield from whole(middle, at[at > 0])
+            if passing:
+                yield passed(rows)
+                continue
+            held.append(rows)
+            size += rows.shape[1]
+            if large and size > large:
+                yield passed(np.concatenate(held, axis=1))
+                held, passing = [], True
+        yield from ended()
+
+    def whole(rows: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if large:
+            first = np.concatenate([[0], change])
+            sizes = np.diff(np.append(first, rows.shape[1]))
+            for f, k in zip(first[sizes > large].tolist(), sizes[sizes > large].tolist()):
+                yield passed(rows[:, f : f + k])
+            if (sizes > large).any():
+                keep = np.repeat(sizes <= large, sizes)
+                rows = rows[:, keep]
+                change = np.cumsum(sizes[sizes <= large])[:-1]
+        if rows.shape[1]:
+            yield found(rows, change)
+
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        segment, wildcard, rest = rows[:3]
+        return pa.RecordBatch.from_arrays([pa.array(rows[-1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(segment.astype(np.int32)), pa.array(wildcard.astype(np.int32)), pa.array(rest)], schema=schema)
 
     def found(rows: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
         first = np.concatenate([[0], change])
         size = np.diff(np.append(first, rows.shape[1]))
-        prints = rows[3].astype(np.int64).view(np.uint64)
+        prints = rows[-1].astype(np.int64).view(np.uint64)
         two = first[size == 2]
         two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= distance]
         edges = [np.stack([prints[two], prints[two + 1]], axis=1)]
         edges += [_forest(prints[f : f + n], distance, pieces[rows[0, f]]) for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist())]
         both = np.unique(np.concatenate(edges), axis=0).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=schema)
+        nulls = [pa.nulls(len(both), t) for t in (pa.int32(), pa.int32(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *nulls], schema=schema)
 
-    keyed = variants(prints, distance)
-    n = partitions(prints.sparkSession)
-    return keyed.repartition(n, "segment", "wildcard", "rest").sortWithinPartitions("segment", "wildcard", "rest", "fingerprint").mapInArrow(run, "a long, b long")
+    return keyed.repartition(n, *keys).sortWithinPartitions(*keys, "fingerprint").mapInArrow(run, "a long, b long, segment int, wildcard int, rest long")
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
@@ -208,28 +279,40 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
             new = [pa.array(x) for x in (node.view(np.int64), _voted(hashes, count).view(np.int64), _sets(hashes, count)[1].astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "key", "node", "fingerprint", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, node long, fingerprint long, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, key {WIDE}, node long, fingerprint long, size long")
 
 
 def _bucketed(rows: DataFrame, distance: int, of_bucket, schema: str) -> DataFrame:
     """of_bucket(segment, wildcard, the bucket's rows by size) of each bucket of ``rows`` (columns fingerprint, size, any others)."""
-    kinds = variants(rows, distance, *[c for c in rows.columns if c != "fingerprint"])
+    n = partitions(rows.sparkSession)
+    kinds = variants(rows.repartition(n, "fingerprint"), distance, *[c for c in rows.columns if c != "fingerprint"])
     keys = ["segment", "wildcard", "rest"]
-    dealt = kinds.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "size")
+    dealt = kinds.repartition(n, *keys).sortWithinPartitions(*keys, "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # of the last bucket, which may go on in the next batch
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in held) > 1:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield from of_bucket(table.column("segment")[0].as_py(), table.column("wildcard")[0].as_py(), table)
+            held.clear()
+
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            k = [table.column(c).to_numpy() for c in keys]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1 if table.num_rows else np.zeros(0, np.int64)
-            for a, b in zip([0, *cuts.tolist()], cuts.tolist()):  # the last bucket may go on
-                if b - a > 1:
-                    yield from of_bucket(int(k[0][a]), int(k[1][a]), table.slice(a, b - a))
-            held = table.slice(int(cuts[-1])) if len(cuts) else table
-        if held is not None and held.num_rows > 1:
-            yield from of_bucket(held.column("segment")[0].as_py(), held.column("wildcard")[0].as_py(), held)
-        table = held = k = None
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy() for c in keys])
+            if last is not None and (k[:, 0] != last).any():
+                yield from ended()
+            last = k[:, -1]
+            cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+                held.append(batch.slice(a, b - a))
+                yield from ended()
+            held.append(batch.slice(int(cuts[-1])) if len(cuts) else batch)
+        yield from ended()
+        batch = k = None
         shared.mapped.cache_clear()  # pages of maps count as a worker's memory in later stages
         blocks.give_back()
 
@@ -313,7 +396,7 @@ def similar(nodes: DataFrame, docs: DataFrame, shingle: int, distance: int, simi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(count), pa.string()), pa.array(np.cumsum(count) - count)], names=["node", "file", "start"])
 
     keys = chosen.select("key", "node")
-    rows = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys) if keys.count() <= SENT else keys, "key").select("node", "text")
+    rows = docs.select(wide_key().alias("key"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys) if keys.count() <= SENT else keys, "key").select("node", "text")
     places = stored(rows.mapInArrow(written, "node long, file string, start long"), "places").groupBy("node").agg(F.first(F.struct("file", "start")).alias("place"))
     placed = chosen.join(places, "node").select("fingerprint", "size", "node", "place.file", "place.start")
 

@@ -362,9 +362,9 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4])
-def test_links_lose_nothing(spark, distance, monkeypatch):
-    monkeypatch.setattr(simhash, "MATRIX", 8)  # so that buckets are cut by pieces too
+@pytest.mark.parametrize("distance,large", [(0, 20_000), (1, 20_000), (2, 20_000), (3, 20_000), (4, 20_000), (1, 3), (2, 3), (3, 3), (2, 60)])
+def test_links_lose_nothing(spark, distance, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)  # so that buckets are dealt anew by pieces too
     rng = np.random.default_rng(distance)
     centers = rng.integers(0, 2**63, 6)
     prints = [int(c) for c in centers]
@@ -382,6 +382,19 @@ def test_links_lose_nothing(spark, distance, monkeypatch):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
+def test_forest_by_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "MATRIX", 8)
+    rng = np.random.default_rng(5)
+    prints = np.unique(np.array([(0x12345678 << 32) ^ int(rng.integers(1 << 9)) ^ (1 << int(rng.integers(32))) for _ in range(200)], np.uint64))
+    edges = simhash._forest(prints, 2, simhash._pieces(2, 1)).tolist()
+    place = {p: k for k, p in enumerate(prints.tolist())}
+    group = list(range(len(prints)))
+    for a, b in edges:
+        x, y = group[place[a]], group[place[b]]
+        group = [x if g == y else g for g in group]
+    assert len(set(zip(group, brute_components(prints.tolist(), 2)))) == len(set(group)) == len(set(brute_components(prints.tolist(), 2)))
+
+
 def shingles(t, k=5):
     w = low(t).split()
     return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
@@ -544,6 +557,17 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert toxicity.apply(docs, none).count() == docs.count()
 
 
+def test_known_terms_are_those_of_all(texts):
+    """Looked up together or one by one, words and their beginnings are the same terms."""
+    every = pa.array([*texts[:40], "wörter* wör* ***", "(abcdefghij) abc ab, \u3000x"], pa.string())
+    text, term, times, names = toxicity._occurrences(every, None)
+    chosen = sorted(names)[::2]
+    known = {t: k for k, t in enumerate(chosen)}
+    a, b, c, _ = toxicity._occurrences(every, known)
+    want = sorted((int(x), known[names[y]], int(z)) for x, y, z in zip(text, term, times) if names[y] in known)
+    assert list(zip(a.tolist(), b.tolist(), c.tolist())) == want and want
+
+
 def test_votes_dont_depend_on_ids():
     """More examples tie for the last place than fit: all of them vote, whatever their ids are."""
     rng = np.random.default_rng(4)
