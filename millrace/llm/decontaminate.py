@@ -5,11 +5,16 @@ run of documents with about ``block_bytes`` of text, and each (block, term) row
 term, counted in words from the block's start, as differences of two or four bytes.  A row without a term holds the
 block's directory: the documents and their numbers of words.  Blocks bound what any task holds, whatever a term's count.
 
-``contamination`` and ``near_matches`` send each block the postings of the test terms in it and intersect offset-adjusted
-lists from the block's rarest term of each phrase on, so that one frequent word costs nothing when another is rare.
-
-Defined cases: a null or empty text has no words and no hits; null ids of documents stay, items without an id mark words but are not listed; equal rows are separate documents; other
-columns, whatever their names, are ignored; an empty table gives no rows; an empty benchmark gives no hits.
+The phrases of a benchmark (windows of its items, or whole items) are cut in tasks and stand in a table of their own, however
+many there are.  One scan of the index gives how often their terms stand where; a phrase goes to the blocks that hold the term
+of it that is rarest in the corpus, and a block gets those phrases and the postings of their terms.  There offset-adjusted lists
+are intersected from the block's rarest term of each phrase on, so that one frequent word costs nothing when another is rare.
+Nothing passes the driver, and no side is broadcast but by the planner's measure of its size.
+
+Defined cases: a null or empty text has no words and no hits; null ids of documents stay, items without an id mark words
+but are not listed; equal rows are separate documents, equal items and ids that repeat count once; texts of any length are read
+whole, as a block of their own; other columns, whatever their names, are ignored; an empty table gives no rows; an empty
+benchmark gives no hits.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -29,10 +33,8 @@ from millrace.llm.scratch import packed, row_key, stored, unpacked
 
 INDEX = "block long, term binary, n int, postings binary, doc_ids array<bigint>, doc_words array<int>"
 _INDEX = pa.schema([("block", pa.int64()), ("term", pa.binary()), ("n", pa.int32()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int32()))])
-NEAR = "doc_id long, item_id string, first long, last long"
-_NEAR = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
-#: Words of all phrases that one pass sends to the tasks; more phrases take more passes.
-PASS_WORDS = 2_000_000
+#: Phrases in one batch of those that a task cuts.
+_PHRASES = 50_000
 #: Candidate starts that are intersected at once.
 _AT_ONCE = 1_000_000
 
@@ -82,59 +84,58 @@ def build_index(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
     return stored(texts.mapInArrow(index, INDEX), "postings")
 
 
-def _words_of(text: str | None) -> list[bytes]:
-    words = blocks.split(pa.array([text], pa.string()), blocks.ALNUM, blocks.LOWER)
-    return words.array().to_pylist()
+def _phrases(items: DataFrame, size: int | None) -> tuple[DataFrame, DataFrame]:
+    """((phrase long, terms array<binary>) of the distinct phrases, (phrase, item string) of the items that have them).
 
+    A phrase is any ``size`` consecutive words of an item, or all words of a shorter one, or of every item without a size.
+    """
 
-def _passes(items: DataFrame, size: int | None) -> Iterator[list[tuple[str, tuple[bytes, ...]]]]:
-    """Lists of (item id, phrase) of PASS_WORDS words at most; read row by row, so the driver holds one list."""
-    phrases, held = [], 0
-    for row in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        words = _words_of(row[1])
-        n = len(words) if size is None else min(size, len(words))
-        for k in range(len(words) - n + 1 if n else 0):
-            phrases.append((row[0], tuple(words[k : k + n])))
-            held += n
-            if held >= PASS_WORDS:
-                yield phrases
-                phrases, held = [], 0
-    if phrases:
-        yield phrases
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.slices(batches, "text", 1 << 20):
+            words = blocks.split(batch.column(1), blocks.ALNUM, blocks.LOWER)
+            n = np.diff(words.first)
+            length = n if size is None else np.minimum(n, size)
+            count = np.where(n > 0, n - length + 1, 0)
+            start, own, length = blocks.ragged(words.first[:-1], count), np.repeat(np.arange(len(n)), count), np.repeat(length, count)
+            terms = words.array()
+            for at in range(0, len(start), _PHRASES):
+                part = slice(at, at + _PHRASES)
+                bounds = np.concatenate([[0], np.cumsum(length[part])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(bounds, terms.take(pa.array(blocks.ragged(start[part], length[part]))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[part])), lists], names=["item", "terms"])
+
+    texts = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    windows = stored(texts.mapInArrow(cut, "item string, terms array<binary>"), "windows")
+    phrases = stored(windows.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    owners = windows.filter(F.col("item").isNotNull()).distinct().join(phrases, "terms").select("phrase", "item")
+    return phrases, owners
 
 
 class _Phrases:
-    """Distinct phrases as rows of term numbers (-1 after the end), and the items of each."""
-
-    def __init__(self, listed: list[tuple[str, tuple[bytes, ...]]]):
-        owners: dict[tuple[bytes, ...], set] = {}
-        for item, phrase in listed:
-            owners.setdefault(phrase, set()).add(item)
-        self.terms = sorted({t for p in owners for t in p})
-        number = {t: k for k, t in enumerate(self.terms)}
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.rows = np.full((len(owners), max(self.lengths, default=1)), -1, np.int64)
-        for k, p in enumerate(owners):
-            self.rows[k, : len(p)] = [number[t] for t in p]
-        self.items = sorted({i for o in owners.values() for i in o if i is not None})
-        place = {x: k for k, x in enumerate(self.items)}
-        own = [sorted(place[i] for i in o if i is not None) for o in owners.values()]
-        self.owned = np.array([i for o in own for i in o], np.int64)
-        self.n_owned = np.array([len(o) for o in own], np.int64)
-        self.first_owned = np.cumsum(self.n_owned) - self.n_owned
+    """The phrases of one block as rows of term numbers (-1 after the end)."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table.column("phrase").to_numpy()
+        lists = table.column("terms").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        self.lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(lists).cast(pa.binary()).dictionary_encode() if len(lists) else pa.array([], pa.binary()).dictionary_encode()
+        self.terms = coded.dictionary
+        self.rows = np.full((len(self.ids), max(self.lengths, default=1)), -1, np.int64)
+        self.rows[np.arange(self.rows.shape[1]) < self.lengths[:, None]] = coded.indices.to_numpy(zero_copy_only=False)
 
 
 class _Block:
     """The postings of the test terms in one block."""
 
-    def __init__(self, table: pa.Table, terms: list[bytes]):
+    def __init__(self, table: pa.Table, terms: pa.Array):
         at = table.column("doc_ids").is_valid()
         directory, rows = table.filter(at), table.filter(pc.invert(at))
         self.number = directory.column("block")[0].as_py()
         self.doc_ids = directory.column("doc_ids")[0].as_py()
         self.sizes = np.array(directory.column("doc_words")[0].as_py(), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        numbers = pc.index_in(rows.column("term").cast(pa.binary()), pa.array(terms, pa.binary())).to_pylist()
+        numbers = pc.index_in(rows.column("term").cast(pa.binary()), terms.cast(pa.binary())).to_pylist()
         self.counts = np.zeros(len(terms), np.int64)
         lists: dict[int, np.ndarray] = {}
         for t, n, postings in zip(numbers, rows.column("n").to_pylist(), rows.column("postings").to_pylist()):
@@ -203,12 +204,24 @@ class _Block:
             yield from ((k, s, e) for s, e in sorted(found) if not any(s <= s2 and e2 <= e and (s2, e2) != (s, e) for s2, e2 in found))
 
 
-def _by_block(index: DataFrame, phrases: _Phrases, function, schema: str) -> DataFrame:
-    spark = index.sparkSession
-    # at most PASS_WORDS terms, so this side may be sent to every executor
-    terms = spark.createDataFrame(pd.DataFrame({"term": phrases.terms}), "term binary")
-    postings = index.filter(F.col("term").isNotNull()).join(F.broadcast(terms), "term", "left_semi").select(index.columns)
-    return postings.unionByName(index.filter(F.col("term").isNull())).groupBy("block").applyInArrow(lambda table: function(table), schema)
+def _by_block(index: DataFrame, phrases: DataFrame, function, schema: str) -> DataFrame:
+    """``function(phrases, block)`` of each block: its ``_Phrases`` and their postings."""
+    in_phrases = phrases.select("phrase", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = stored(in_phrases.select("term").distinct(), "terms")
+    held = stored(index.filter(F.col("term").isNotNull()).join(terms, "term", "left_semi").select(index.columns), "test-postings")
+    counts = held.groupBy("term").agg(F.sum("n").alias("n"))
+    # of each phrase whose terms are all there, the rarest one
+    rarest = in_phrases.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("least"))
+    rarest = rarest.filter("least.n > 0").select("phrase", F.col("least.term").alias("term"))
+    sent = stored(held.select("block", "term").join(rarest, "term").select("block", "phrase").join(phrases, "phrase").select("block", "phrase", "terms"), "phrases-of-blocks")
+    needed = sent.select("block", F.explode("terms").alias("term")).distinct()
+    postings = held.join(needed, ["block", "term"], "left_semi").select(index.columns).unionByName(index.filter(F.col("term").isNull()))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = _Phrases(left)
+        return function(own, _Block(right, own.terms))
+
+    return sent.groupBy("block").cogroup(postings.groupBy("block")).applyInArrow(lambda left, right: run(left, right), schema)
 
 
 def contamination(index: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -217,96 +230,52 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10) -> DataF
     A phrase is any ``window`` consecutive words of an item, or all words of a shorter one.  n_hit counts the words
     inside at least one occurrence; items are the sorted ids of the items with one.
     """
-    spark = index.sparkSession
-    parts = []
-    for listed in _passes(items, window):
-        sent = spark.sparkContext.broadcast(_Phrases(listed))
-
-        def hits(table, sent=sent):
-            p = sent.value
-            block = _Block(table, p.terms)
-            edge = np.zeros(block.starts[-1] + 1, np.int64)
-            pairs = [np.zeros(0, np.int64)]
-            for phrase, start in block.exact(p):
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + p.lengths[phrase], -1)
-                which = blocks.ragged(p.first_owned[phrase], p.n_owned[phrase])
-                doc = np.repeat(block.document(start), p.n_owned[phrase])
-                pairs.append(np.unique(doc * len(p.items) + p.owned[which]))
-            spans = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)])))
-            return _per_document(block, spans, np.unique(np.concatenate(pairs)), p.items)
-
-        parts.append(_by_block(index, sent.value, hits, "block long, doc int, doc_id long, n_words long, spans array<bigint>, items array<string>"))
-    if not parts:
-        parts = [_by_block(index, _Phrases([]), lambda table: _per_document(_Block(table, []), np.zeros(0, np.int64), np.zeros(0, np.int64), []), "block long, doc int, doc_id long, n_words long, spans array<bigint>, items array<string>")]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("block", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
-
-
-def _covered(spans):
-    """Words inside at least one of the spans, given as [first, end, first, end, ...] of possibly many passes."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1), lambda k: F.struct(spans[k * 2].alias("s"), spans[k * 2 + 1].alias("e"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
-    total = F.aggregate(pairs, start, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["n"])
-    return F.when(F.size(spans) > 0, total).otherwise(F.lit(0).cast("long"))
-
-
-def _per_document(block: _Block, spans: np.ndarray, pairs: np.ndarray, items: list[str]) -> pa.Table:
-    """Spans (block addresses, [first, end) one after the other) and (document, item) pairs as a row for each document."""
-    s, e = spans[0::2], spans[1::2]
-    # a span of words that runs on over the start of a document is cut there
-    inner = block.starts[1:-1]
-    k = np.searchsorted(s, inner, side="left") - 1
-    cut = np.unique(inner[(k >= 0) & (e[np.maximum(k, 0)] > inner)]) if len(s) else inner[:0]
-    s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
-    doc = block.document(s)
-    number = block.number
-    n, listed = len(block.doc_ids), np.stack([s - block.starts[doc], e - block.starts[doc]], axis=1).ravel()
-    of_spans = np.concatenate([[0], np.cumsum(2 * np.bincount(doc, minlength=n))]).astype(np.int32)
-    width = max(len(items), 1)
-    of_items = np.concatenate([[0], np.cumsum(np.bincount(pairs // width, minlength=n))]).astype(np.int32)
-    return pa.table(
-        {
-            "block": pa.array(np.full(n, number)),
-            "doc": pa.array(np.arange(n, dtype=np.int32)),
-            "doc_id": pa.array(block.doc_ids, pa.int64()),
-            "n_words": pa.array(block.sizes),
-            "spans": pa.ListArray.from_arrays(of_spans, pa.array(listed.astype(np.int64))),
-            "items": pa.ListArray.from_arrays(of_items, pa.array([items[k] for k in (pairs % width).tolist()], pa.string())),
-        }
-    )
+    phrases, owners = _phrases(items, window)
+
+    def hits(p: _Phrases, block: _Block) -> pa.Table:
+        n = len(block.doc_ids)
+        edge, pairs = np.zeros(block.starts[-1] + 1, np.int64), [np.zeros(0, np.int64)]
+        for phrase, start in block.exact(p):
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + p.lengths[phrase], -1)
+            pairs.append(np.unique(block.document(start) * len(p.ids) + phrase))
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])[block.starts]
+        pairs, width = np.unique(np.concatenate(pairs)), max(len(p.ids), 1)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(pairs // width, minlength=n))]).astype(np.int32)
+        return pa.table(
+            {
+                "block": pa.array(np.full(n, block.number)),
+                "doc": pa.array(np.arange(n, dtype=np.int32)),
+                "doc_id": pa.array(block.doc_ids, pa.int64()),
+                "n_words": pa.array(block.sizes),
+                "n_hit": pa.array(np.diff(covered).astype(np.int64)),
+                "phrases": pa.ListArray.from_arrays(bounds, pa.array(p.ids[pairs % width].astype(np.int64))),
+            }
+        )
+
+    found = stored(_by_block(index, phrases, hits, "block long, doc int, doc_id long, n_words long, n_hit long, phrases array<bigint>"), "hits")
+    listed = found.select("block", "doc", F.explode("phrases").alias("phrase")).join(owners, "phrase").groupBy("block", "doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.join(listed, ["block", "doc"], "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _matches(index: DataFrame, items: DataFrame, size: int | None, found) -> DataFrame:
     """(doc_id, item_id, first, last) of the spans that ``found`` gives as (phrase, first address, last address) of a block."""
-    spark = index.sparkSession
-    every = None
-    for listed in _passes(items, size):
-        sent = spark.sparkContext.broadcast(_Phrases(listed))
-
-        def rows(table, sent=sent):
-            p = sent.value
-            block = _Block(table, p.terms)
-            out = []
-            for k, s, e in found(block, p):
-                doc = int(block.document(np.array([s]))[0])
-                for i in p.owned[p.first_owned[k] : p.first_owned[k] + p.n_owned[k]]:
-                    out.append((block.doc_ids[doc], p.items[i], s - int(block.starts[doc]), e - int(block.starts[doc])))
-            return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _NEAR.types)] if out else [pa.array([], t) for t in _NEAR.types], schema=_NEAR)
-
-        part = _by_block(index, sent.value, rows, NEAR)
-        every = part if every is None else every.unionByName(part)
-    return spark.createDataFrame([], NEAR) if every is None else every
+    phrases, owners = _phrases(items, size)
+
+    def rows(p: _Phrases, block: _Block) -> pa.Table:
+        out = [(int(p.ids[k]), int(s), int(e)) for k, s, e in found(block, p)]
+        phrase, s, e = (np.array(c, np.int64) for c in (zip(*out) if out else ([], [], [])))
+        doc = block.document(s)
+        ids = pa.array(block.doc_ids, pa.int64()).take(pa.array(doc))
+        return pa.table({"phrase": pa.array(phrase), "doc_id": ids, "first": pa.array(s - block.starts[doc]), "last": pa.array(e - block.starts[doc])})
+
+    spans = _by_block(index, phrases, rows, "phrase long, doc_id long, first long, last long")
+    return spans.join(owners, "phrase").select("doc_id", F.col("item").alias("item_id"), "first", "last")
 
 
 def exact_matches(index: DataFrame, items: DataFrame, window: int | None = None) -> DataFrame:
     """(doc_id, item_id, first, last): every occurrence of an item's whole text, or of each of its windows, by word numbers."""
-    return _matches(index, items, window, lambda block, p: ((int(k), int(s), int(s + p.lengths[k] - 1)) for phrase, start in block.exact(p) for k, s in zip(phrase, start)))
+    return _matches(index, items, window, lambda block, p: ((k, s, s + p.lengths[k] - 1) for phrase, start in block.exact(p) for k, s in zip(phrase, start)))
 
 
 def near_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:

@@ -64,10 +64,9 @@ def brute_contamination(docs, items):
         yield (i, len(w), sum(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), sum(hit) > 0)
 
 
-@pytest.mark.parametrize("passes", [2_000_000, 25])
-def test_contamination(spark, docs, texts, monkeypatch, passes):
-    monkeypatch.setattr(decontaminate, "PASS_WORDS", passes)
+def test_contamination(spark, docs, texts):
     items = items_of(spark, texts)
+    items = items.union(items)  # items that repeat
     got = [tuple(r) for r in decontaminate.report(spark, docs, items).collect()]
     same(got, brute_contamination(pairs(docs), [tuple(r) for r in items.collect()]))
 
