@@ -3,12 +3,14 @@
 Sequential covering, as in RIPPER: a rule is a conjunction of thresholds on the ratios of ``statistics``; it grows on two
 thirds of the labelled documents by the literal of largest FOIL gain until it covers no good document, is pruned on the
 other third to its best prefix, and joins the list if it still holds there; what it covers is taken away and the next
-rule is grown.  The list becomes an ordered conditional expression that Spark evaluates on its own; each rule reads as
-text.  Fitting sees ``most`` labelled documents at most (chosen by hash), as rows of eleven numbers.
-
-Defined cases: null and empty texts have no words and fail the base rule; without labels, or with one kind only, the
-list is empty and keeps what the base rule keeps; null ids stay; equal rows are separate documents; other columns are
-ignored; an empty table gives no rows.
+rule is grown, until one doesn't hold.  The list becomes an ordered conditional expression that Spark evaluates on its own;
+each rule reads as text.  What bounds a fit are its parameters: ``most`` labelled documents (chosen by hash, as rows of eleven
+numbers), ``cuts`` thresholds tried for each ratio and class, and ``literals`` in a rule, so that it can be read.
+
+Defined cases: null and empty texts have no words and fail the base rule; texts of any length are counted whole; without
+labels, or with one kind only, the list is empty and keeps what the base rule keeps; of literals with equal gain the first in
+the order of ratios and thresholds is taken, so equal rows and ties always give the same list; null ids stay; equal rows are
+separate documents with equal results; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm.labelled import sample
 from millrace.llm.statistics import ratios, with_counts
 
-#: Labelled documents that a fit may read.
-MOST = 16_384
-#: Thresholds that are tried for each ratio.
-_CUTS = 48
-_MOST_RULES, _MOST_LITERALS = 24, 4
+#: Labelled documents that a fit may read, thresholds that are tried for each ratio, and literals of a rule.
+MOST, CUTS, LITERALS = 16_384, 48, 4
 
 
 def base_failed() -> Column:
@@ -68,14 +67,14 @@ class Rule:
         return " and ".join(map(str, self.literals)) + " -> drop"
 
 
-def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def _grow(table: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most: int) -> Rule:
     inside, literals = np.ones(len(bad), bool), []
-    while len(literals) < _MOST_LITERALS and (inside & ~bad).any():
+    while len(literals) < most and (inside & ~bad).any():
         p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
         best, gain = None, 1e-9
         for name, column in table.items():
-            values = np.unique(np.quantile(column[inside & bad], np.linspace(0, 1, _CUTS)))
-            others = np.unique(np.quantile(column[inside & ~bad], np.linspace(0, 1, _CUTS)))
+            values = np.unique(np.quantile(column[inside & bad], np.linspace(0, 1, cuts)))
+            others = np.unique(np.quantile(column[inside & ~bad], np.linspace(0, 1, cuts)))
             for cut in np.unique(np.concatenate([values, (others[1:] + others[:-1]) / 2 if len(others) > 1 else others])):
                 for above in (True, False):
                     x = Literal(name, above, float(cut))
@@ -100,15 +99,15 @@ def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return max(prefixes, key=lambda r: (worth(r), -len(r.literals)))
 
 
-def learn(table: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precision: float = 0.8) -> list[Rule]:
+def learn(table: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precision: float = 0.8, cuts: int = CUTS, literals: int = LITERALS) -> list[Rule]:
     """Rules for ``bad`` rows, in the order in which they apply; ``prune`` marks the rows that pruning is done on."""
     rules, left = [], np.ones(len(bad), bool)
     part = lambda where: ({k: v[where] for k, v in table.items()}, bad[where])
-    while len(rules) < _MOST_RULES:
+    while True:
         grown, pruned = part(left & ~prune), part(left & prune)
         if not grown[1].any():
             break
-        rule = _grow(*grown)
+        rule = _grow(*grown, cuts, literals)
         if not rule.literals:
             break
         if len(pruned[1]):
@@ -122,7 +121,7 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, prec
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST, cuts: int = CUTS, literals: int = LITERALS) -> list[Rule]:
     """Rules for documents whose label is 0, from those that pass the base rule."""
     rows = with_counts(sample(docs, labels, label, most), "doc_id", "label").filter(~base_failed())
     names = list(ratios())
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     held = rows.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), "doc_id", *[c.cast("double").alias(k) for k, c in ratios().items()]).toPandas().sort_values("doc_id", kind="stable")
     if held["label"].nunique() < 2:
         return []
-    return learn({k: held[k].to_numpy() for k in names}, held["label"].to_numpy() == 0, held["fold"].to_numpy() == 0)
+    return learn({k: held[k].to_numpy() for k in names}, held["label"].to_numpy() == 0, held["fold"].to_numpy() == 0, cuts=cuts, literals=literals)
 
 
 def kept(rules: list[Rule]) -> Column:

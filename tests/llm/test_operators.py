@@ -499,10 +499,11 @@ def test_rules_find_planted_conjunction():
 
 def test_rules_and_ranking_on_documents(spark, sf_dir, docs, empty):
     table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = rules.fit(table, labels)
+    held = "pmod(crc32(cast(doc_id as string)), 4) = 2"
+    found = rules.fit(table, labels.filter(f"not ({held})"))
     truth = labels.select("doc_id", "quality")
-    r = rules.apply(table, found).filter(~F.col("base_failed")).join(truth, "doc_id")
-    assert r.filter((F.col("quality") == 1) == F.col("kept")).count() > 0.97 * r.count()
+    r = rules.apply(table, found).filter(~F.col("base_failed")).join(truth, "doc_id").filter(held)
+    assert r.count() > 50 and r.filter((F.col("quality") == 1) == F.col("kept")).count() > 0.96 * r.count()
     model = ranking.fit(table, labels.filter("pmod(crc32(cast(doc_id as string)), 4) <> 2"))
     s = ranking.apply(table, model).join(truth, "doc_id").filter("pmod(crc32(cast(doc_id as string)), 4) = 2")
     assert s.filter((F.col("score") >= 0.7) == (F.col("quality") == 1)).count() > 0.93 * s.count()
