@@ -14,7 +14,7 @@ The sample holds ``most`` labelled documents or nearly so, chosen by hash.  That
 scoring covers all words of all texts.
 
 Defined cases: null and empty texts, and texts without any of the terms, get the rate among the examples without any;
-with labels of one kind only, every score is the smoothed rate; neighbours that tie for the last place all vote, and of
+with labels of one kind only, every score is the smoothed rate, without any it is 0; neighbours that tie for the last place all vote, and of
 those that tie for a place in the evidence the smaller doc_ids are named; texts of any length are scored whole; null ids
 stay; equal rows are separate documents; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
@@ -161,7 +161,7 @@ class Index:
         self.idf = np.array([w for _, w in terms], np.float64)
         full = [r for r in rows if r[2]]
         bare = [r[1] for r in rows if not r[2]]
-        self.rate = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1)
+        self.rate = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
         self.bare = (sum(bare) + self.rate) / (len(bare) + 1)
         weights = [self._unit(np.array(t), np.array(n)) for _, _, t, n in full]
         # like stands by like, so that a block's maxima say something about its examples

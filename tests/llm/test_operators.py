@@ -10,22 +10,17 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import brute
+from brute import ALNUM, SPACED, low
 from millrace.llm import bpe, dac, decontaminate, graph, kneser_ney, linededup, ranking, rules, secrets, simhash, statistics, tokenfiles, toxicity
 from millrace.llm.scratch import new_path
 
-SPACED = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BPE, WORD = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 
 
-def low(s):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
-
-
 def same(a, b):
     """Equal as collections of rows."""
     assert collections.Counter(map(repr, a)) == collections.Counter(map(repr, b))
@@ -45,30 +40,11 @@ def items_of(spark, texts):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-def brute_contamination(docs, items):
-    windows = collections.defaultdict(set)
-    for i, t in items:
-        w = ALNUM.findall(low(t))
-        n = min(10, len(w))
-        for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(i)
-    for i, t in docs:
-        w = ALNUM.findall(low(t))
-        hit, found = [0] * len(w), set()
-        for n in {len(x) for x in windows}:
-            for k in range(len(w) - n + 1):
-                if (own := windows.get(tuple(w[k : k + n]))) is not None:
-                    found |= own
-                    hit[k : k + n] = [1] * n
-        names = sorted(str(x) for x in found if x is not None)
-        yield (i, len(w), sum(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), sum(hit) > 0)
-
-
 def test_contamination(spark, docs, texts):
     items = items_of(spark, texts)
     items = items.union(items)  # items that repeat
     got = [tuple(r) for r in decontaminate.report(spark, docs, items).collect()]
-    same(got, brute_contamination(pairs(docs), [tuple(r) for r in items.collect()]))
+    same(got, brute.contamination(pairs(docs), [tuple(r) for r in items.collect()]))
 
 
 def test_contamination_over_small_blocks(spark, docs, texts):
@@ -325,35 +301,10 @@ def test_language_model_of_nothing(spark, docs, empty):
 # SimHash
 
 
-def brute_prints(rows):
-    out = []
-    for _, t in rows:
-        w = SPACED.findall(low(t))
-        shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
-        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    return out
-
-
-def brute_components(prints, distance):
-    parent = list(range(len(prints)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(prints)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= distance:
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    return [find(x) for x in range(len(prints))]
-
-
 def test_simhash(docs, empty):
     rows = pairs(docs)
-    prints = brute_prints(rows)
-    group = brute_components(prints, 2)
+    prints = brute.prints([t for _, t in rows])
+    group = brute.components(prints, 2)
     least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in group}
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(i, f"{f:016x}", least[g]) for (i, _), f, g in zip(rows, prints, group)])
     kept = simhash.one_of_each(docs)
@@ -377,7 +328,7 @@ def test_links_lose_nothing(spark, distance, large, monkeypatch):
     edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fingerprint long"), distance)
     found = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     mine = [found.get(f, f) for f in signed]
-    want = brute_components(prints, distance)
+    want = brute.components(prints, distance)
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
@@ -391,12 +342,7 @@ def test_forest_by_pieces(monkeypatch):
     for a, b in edges:
         x, y = group[place[a]], group[place[b]]
         group = [x if g == y else g for g in group]
-    assert len(set(zip(group, brute_components(prints.tolist(), 2)))) == len(set(group)) == len(set(brute_components(prints.tolist(), 2)))
-
-
-def shingles(t, k=5):
-    w = low(t).split()
-    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+    assert len(set(zip(group, brute.components(prints.tolist(), 2)))) == len(set(group)) == len(set(brute.components(prints.tolist(), 2)))
 
 
 @pytest.mark.parametrize("matrix", [8, 512])
@@ -415,7 +361,7 @@ def test_one_of_each_by_similarity(spark, monkeypatch, matrix):
                 texts.append(" ".join(copy))
     table = spark.createDataFrame([*enumerate(texts), (None, texts[5])], "doc_id long, text string").repartition(3)
     prints = [int(f) for f in simhash.fingerprints_of(pa.array(texts), 5)]
-    sets = [shingles(t) for t in texts]
+    sets = [brute.shingles(t) for t in texts]
     group, missed, links = list(range(len(texts))), 0, 0
     for i in range(len(texts)):
         for j in range(i):
@@ -466,18 +412,6 @@ def test_line_dedup(docs, empty, monkeypatch, sent):
 # statistics, rules, ranking
 
 
-def brute_counts(t):
-    t = t or ""
-    w, seen, dup = SPACED.findall(t), set(), 0
-    for line in t.split("\n"):
-        if SPACED.search(line):
-            dup += line in seen
-            seen.add(line)
-    five = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-    covered = {x for k in range(len(w) - 4) if five[tuple(w[k : k + 5])] > 1 for x in range(k, k + 5)}
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
-
-
 def test_statistics(texts):
     odd = ["a\n\na\n \n", "a b c d e a b c d e", "a a a a a a", "x\r\nx\r\n", "é # $|\né # $|", "\n", "", None]
     every = [*texts, *odd]
