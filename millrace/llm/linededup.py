@@ -6,9 +6,11 @@ decided by it, lines near it get an exact distinct count.  A line on at least ``
 its first document (the smallest doc_id that has it) and goes from all others.
 
 Defined cases: a null text stays null; a null site is no site; lines are compared as they are, and those with fewer than
-``min_words`` words (counted by blanks) are never boilerplate; a line that stands several times in its first document
-stays there as often; equal rows are separate documents with the same result, null ids are never first unless all are
-null; columns besides those named stay as they are; an empty table gives no rows.
+``min_words`` words (counted by blanks) and fewer than ``min_chars`` characters besides blanks (for scripts that don't use
+them) are never boilerplate; a line that stands several times in its first document stays there as often; texts of any length
+and number of lines are worked on whole; equal rows are separate documents with the same result, so all of them keep a line
+whose first document they are; null ids are never first unless all are null; other columns, whatever their names, stay as they
+are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.scratch import packed, stored, unpacked, wide_key
 
-SITES, MIN_WORDS = 5, 3
+SITES, MIN_WORDS, MIN_CHARS = 5, 3, 20
 #: Sketches of 2 ** LG_K registers; three standard errors of the estimate near ``sites`` are below MARGIN * sites + 1.
 LG_K, MARGIN = 10, 0.1
 #: Lines (two numbers each) that are sent to every executor at most.
 SENT = 500_000
 
 
-def _counts(line: Column, min_words: int) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= min_words - 1
+def _counts(line: Column, min_words: int, min_chars: int) -> Column:
+    solid = F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return (F.length(line) - solid >= min_words - 1) | (solid >= min_chars)
 
 
 def _beside(lines: DataFrame, n: int) -> DataFrame:
@@ -45,19 +48,23 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> tuple[DataFrame, int]:
     return stored(estimates.filter(F.col("n") > F.lit(high)).select("line").unionByName(exact.select("line")), "boilerplate"), most
 
 
-def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def marked(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, n_lines, left): each whole row of ``docs``, the number of its lines, and the lines that stay if any goes, else null.
 
     What goes depends on a row's id and text alone, so rows meet what goes from them by the hash of both.
     """
     cut = docs.select(wide_key().alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text"), "\n")).alias("l"))
-    lines = stored(cut.filter(_counts(F.col("l"), min_words)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
+    lines = stored(cut.filter(_counts(F.col("l"), min_words, min_chars)).select("key", "id", "site", F.xxhash64("l").alias("line")), "lines")
     spread, most = boilerplate(lines, sites)
     held = stored(lines.join(_beside(spread, most), "line", "left_semi").select("key", "id", "line").distinct(), "held")
     first = held.groupBy("line").agg(F.min("id").alias("first"))
     gone = held.join(_beside(first, most), "line").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("line").alias("gone"))
+    # in groups as many as the root of their number, so that a long text doesn't compare each line with all that go
+    many = F.ceil(F.sqrt(F.size("gone"))).cast("int")
+    gone = gone.select("key", F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.filter("gone", lambda x: F.pmod(x, many) == b)).alias("gone"))
     parts = F.split(F.col("row.text"), "\n")
-    left = F.filter(parts, lambda l: ~(F.array_contains(F.col("gone"), F.xxhash64(l)) & _counts(l, min_words)))
+    group = lambda h: F.get(F.col("gone"), F.pmod(h, F.size("gone")).cast("int"))
+    left = F.filter(parts, lambda l: ~(F.array_contains(group(F.xxhash64(l)), F.xxhash64(l)) & _counts(l, min_words, min_chars)))
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     return packed(docs).join(gone, "key", "left").select("row", n_lines.alias("n_lines"), F.when(F.col("gone").isNotNull(), left).alias("left"))
 
@@ -66,12 +73,12 @@ def _text() -> Column:
     return F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
 
 
-def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
+def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, keep_emptied: bool = True) -> DataFrame:
     """The rows of ``docs`` with boilerplate taken out of ``text``; ``n_chars``, where it is, follows the text.
 
     Without ``keep_emptied``, rows of which nothing but white space is left go; those that had no line taken stay.
     """
-    rows = marked(docs, sites, min_words)
+    rows = marked(docs, sites, min_words, min_chars)
     if not keep_emptied:
         rows = rows.filter(F.col("left").isNull() | _text().rlike(r"\S"))
     n_chars = F.when(F.col("left").isNull(), F.col("row")["n_chars"]).otherwise(F.length(_text())).cast("long") if "n_chars" in docs.columns else F.lit(None)
@@ -81,7 +88,7 @@ def remove(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, keep
 #: The same in SQL, with exact counts for all lines.
 SQL = f"""
 WITH cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-lines AS (SELECT *, length(l) - length(replace(l, ' ', '')) >= {MIN_WORDS - 1} AS counts FROM cut),
+lines AS (SELECT *, length(l) - length(replace(l, ' ', '')) >= {MIN_WORDS - 1} OR length(replace(l, ' ', '')) >= {MIN_CHARS} AS counts FROM cut),
 spread AS (SELECT l, min(doc_id) AS first FROM lines WHERE counts GROUP BY l HAVING count(DISTINCT source) >= {SITES}),
 marked AS (SELECT a.doc_id, a.l, a.pos, coalesce(b.first <> a.doc_id, FALSE) AS gone FROM lines a LEFT JOIN spread b ON a.l = b.l AND a.counts)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,

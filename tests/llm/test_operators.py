@@ -392,7 +392,7 @@ def test_components_of_a_chain(spark):
 def test_line_dedup(docs, empty, monkeypatch, sent):
     monkeypatch.setattr(linededup, "SENT", sent)
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
-    counts = lambda l: l.count(" ") >= linededup.MIN_WORDS - 1
+    counts = lambda l: l.count(" ") >= linededup.MIN_WORDS - 1 or len(l.replace(" ", "")) >= linededup.MIN_CHARS
     sites, ids = collections.defaultdict(set), collections.defaultdict(set)
     for i, t, s in rows:
         for l in (t or "").split("\n") if t is not None else []:
@@ -409,6 +409,15 @@ def test_line_dedup(docs, empty, monkeypatch, sent):
     assert linededup.remove(empty).count() == 0
 
 
+def test_lines_without_blanks_and_long_texts(spark):
+    """A footer in a script without blanks goes; short words stay; a text of many lines that go is done in time."""
+    footer, many = "版权所有" * 6, [f"line number {k} of a long page" for k in range(3000)]
+    rows = [(k, f"own {k}\n{footer}\nkurz", f"s{k}") for k in range(6)] + [(10 + k, "\n".join(many), f"s{k}") for k in range(6)]
+    got = {r["doc_id"]: r["text"] for r in linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"own {k}\nkurz" for k in range(1, 6))
+    assert got[10] == "\n".join(many) and all(got[10 + k] == "" for k in range(1, 6))
+
+
 # statistics, rules, ranking
 
 

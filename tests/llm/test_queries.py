@@ -194,7 +194,7 @@ def plain_pipeline(spark, folder, rows):
     index = toxicity.fit(table, spark.read.parquet(f"{folder}/labels.parquet"))
     scores, _ = index.score(pa.array([r["text"] for r in rows], pa.string()), toxicity.NEAREST)
     rows = [(r["doc_id"], r["text"], r["source"]) for r, s in zip(rows, scores) if s < 0.5]
-    counts = lambda x: x.count(" ") >= linededup.MIN_WORDS - 1
+    counts = lambda x: x.count(" ") >= linededup.MIN_WORDS - 1 or len(x.replace(" ", "")) >= linededup.MIN_CHARS
     texts = brute.without_boilerplate(rows, linededup.SITES, counts)
     rows = [(i, t) for (i, old, _), t in zip(rows, texts) if t == old or brute.SPACED.search(t or "")]
     group = brute.similar([t for _, t in rows], corpus_pipeline.NEAR_BITS)
