@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``; all but the last return the columns of ``documents``.  A stage that removes documents keeps those it finds
 clean as they are; line dedup changes ``text``, and ``n_chars`` with it.
+
+Defined cases: rows with a null id, text, source or other column go through all stages like others (a null text is empty and
+stays null, a null source is no site, a null id is the last choice of its group); of repeated rows, and of all empty texts, one
+stays as of any group of copies; of rows that tie for a group by id the one with the least hash of id and text stays; texts of
+any length are worked on whole; further columns of ``documents``, whatever their names, are kept by all stages but the last;
+without labels no document is toxic, without benchmark items none is contaminated, and without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -51,7 +57,7 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: No SQL has nearest neighbours by block bounds, fingerprint components or merge replay; tests hold run() against brute force.
+#: No SQL has nearest neighbours by block bounds, fingerprint components or merge replay; tests hold run() against plain forms of all stages.
 ORACLE_SQL = None
 
 
