@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import first_contained, number_in, quoted_items, word_from_end
+from millrace.sources import checkpointed
 
 # Tags and room names as the source data writes them, in their order, and the codes of party types.
 MOBILE_TAG = "Submitted from a mobile device"
@@ -90,11 +91,27 @@ def _values(df: DataFrame, column: str, most: int) -> list:
 
 
 def ordinal_code(df: DataFrame, column: str, code: str, most: int = 1000) -> DataFrame:
-    """Numbers from 0 for the values of a category in their order; null stays null."""
-    values = _values(df, column, most)
+    """Numbers from 0 for the values of a category in their order; null stays null.
+
+    Up to ``most`` values are literals of the plan; more are numbered in a table of their own, which joins the rows.
+    """
+    values = df.select(column).dropna().distinct().limit(most + 1).collect()
+    if len(values) > most:
+        return df.join(_numbered(df, column, code), column, "left").select(*df.columns, code)
     if not values:
         return df.withColumn(code, F.lit(None).cast("int"))
-    return df.withColumn(code, (F.array_position(F.array(*map(F.lit, values)), F.col(column)) - 1).cast("int"))
+    return df.withColumn(code, (F.array_position(F.array(*[F.lit(v) for v in sorted(r[0] for r in values)]), F.col(column)) - 1).cast("int"))
+
+
+def _numbered(df: DataFrame, column: str, code: str) -> DataFrame:
+    """(column, code) of the distinct values: ranges of values are numbered side by side, each from where those before it end."""
+    ranges = df.select(column).dropna().distinct().repartitionByRange(F.col(column)).withColumn("__range", F.spark_partition_id())
+    held = checkpointed(ranges)  # the ranges are found once, so that counts and numbers speak of the same ones
+    sizes = held.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each range, of which there are as many as shuffle partitions
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(column)) - 1
+    return held.withColumn("__place", place).join(starts, "__range").select(column, (F.col("__start") + F.col("__place")).cast("int").alias(code))
 
 
 def one_hot(df: DataFrame, column: str, most: int = 100) -> DataFrame:

@@ -73,3 +73,12 @@ def flag_means(df: DataFrame, flags: Sequence[str], value: str) -> DataFrame:
     long = df.select(pairs, F.col(value).alias("value")).select("p.*", "value")
     mean = lambda k: F.round(F.avg(F.when(F.col("on") == k, F.col("value"))), 6).alias(f"mean_{k}")
     return long.groupBy("flag").agg(mean(0), mean(1))
+
+
+def mean_by_period(df: DataFrame, keys: Sequence[str], date: str, unit: str, value: Column, name: str = "mean", digits: int = 2) -> DataFrame:
+    """(keys, period, n, mean, change): the mean of ``value`` in each ``unit`` of time, and its difference from the period before
+    that the group has.  Groups are numbered by their periods, of which there are few, and never by their rows."""
+    rows = df.select(*keys, F.date_trunc(unit, date).alias("period"), value.alias("__value"))
+    means = rows.groupBy(*keys, "period").agg(F.count("__value").alias("n"), F.avg("__value").alias("__mean"))
+    before = F.lag("__mean").over(Window.partitionBy(*keys).orderBy("period"))
+    return means.select(*keys, "period", "n", F.round("__mean", digits).alias(name), F.round(F.col("__mean") - before, digits).alias("change"))

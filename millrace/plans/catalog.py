@@ -274,6 +274,16 @@ def agg_midpoint_by_group(t):
     return t.jobs.groupBy("o_orderpriority").agg(F.round(F.avg(numbers.midpoint(F.col("lo"), F.col("hi"))), 0).alias("pay")).orderBy(F.col("pay").asc_nulls_last())
 
 
+@query(
+    JOBS
+    + """, m AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS period, count(coalesce((lo + hi) / 2, lo, hi)) AS n, avg(coalesce((lo + hi) / 2, lo, hi)) AS pay FROM jobs GROUP BY 1, 2)
+SELECT o_orderpriority, strftime(period, '%Y-%m') AS period, n, round(pay, 0) AS pay, round(pay - lag(pay) OVER (PARTITION BY o_orderpriority ORDER BY period), 0) AS change FROM m"""
+)
+def agg_midpoint_over_time(t):
+    means = relational.mean_by_period(t.jobs, ["o_orderpriority"], "o_orderdate", "month", numbers.midpoint(F.col("lo"), F.col("hi")), "pay", 0)
+    return means.withColumn("period", F.date_format("period", "yyyy-MM"))
+
+
 @query("SELECT round(avg(length(text) - length(replace(text, ' ', '')) + 1), 2) AS items FROM documents")
 def agg_avg_list_len(t):
     return t.documents.agg(F.round(F.avg(strings.item_count(F.col("text"), " ")), 2).alias("items"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,17 @@ def register(spark: SparkSession, folder: str, names: Iterable[str] = TABLES) ->
         table(spark, folder, name).createOrReplaceTempView(name)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint in the folder of ``spark.checkpoint.dir``; on one machine without it, in a new temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A server's table in ``parts`` ranges of an integer key, read side by side; filters and columns are pushed to it."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()

@@ -95,6 +95,19 @@ def test_scaling_and_one_hot_bounds(spark):
         features.one_hot(df, "id", most=10)
 
 
+def test_codes_of_many_values(spark):
+    df = spark.range(500).selectExpr("id", "nullif(concat('v', cast(id * 7919 % 101 as string)), 'v13') as k")
+    few, many = ({r.id: r.code for r in features.ordinal_code(df, "k", "code", most=n).collect()} for n in (1000, 5))
+    assert few == many and set(few.values()) == {None, *range(100)}
+
+
+def test_means_over_time(spark):
+    rows = [("a", "2024-01-03", 1.0), ("a", "2024-01-30", 3.0), ("a", "2024-03-01", 5.0), ("b", "2024-03-02", None)]
+    df = spark.createDataFrame(rows, "k string, d string, v double").withColumn("d", F.col("d").cast("timestamp"))
+    got = [(r.k, r.period.month, r.n, r.mean, r.change) for r in relational.mean_by_period(df, ["k"], "d", "month", F.col("v")).orderBy("k", "period").collect()]
+    assert got == [("a", 1, 2, 2.0, None), ("a", 3, 1, 5.0, 3.0), ("b", 3, 0, None, None)]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Grand", "1 A London UK"), ("Grand", "2 B Paris FR"), ("Solo", "3 C Rome IT"), ("Solo", "3 C Rome IT")], "n string, a string")
     assert sorted(r.full_name for r in features.distinct_names(df, "n", "a").collect()) == ["Grand London", "Grand Paris", "Solo", "Solo"]
