@@ -175,8 +175,8 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """
     n = partitions(prints.sparkSession)
     pieces = [_pieces(distance, k) for k in range(len(segments(distance)))]
-    # few fingerprints stand on few partitions, and each becomes 64 rows
-    keyed = variants(prints.repartition(n, "fingerprint"), distance)
+    # few fingerprints stand on few partitions, and each becomes 64 rows; by the column itself no exchange would be made
+    keyed = variants(prints.repartition(n, F.xxhash64("fingerprint")), distance)
     first = stored(_compared(keyed, n, ["segment", "wildcard", "rest"], distance, LARGE), "links")
     if not any(pieces):  # one segment holds all bits, so no bucket is large
         return first.select("a", "b")
@@ -285,7 +285,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
 def _bucketed(rows: DataFrame, distance: int, of_bucket, schema: str) -> DataFrame:
     """of_bucket(segment, wildcard, the bucket's rows by size) of each bucket of ``rows`` (columns fingerprint, size, any others)."""
     n = partitions(rows.sparkSession)
-    kinds = variants(rows.repartition(n, "fingerprint"), distance, *[c for c in rows.columns if c != "fingerprint"])
+    kinds = variants(rows.repartition(n, F.xxhash64("fingerprint")), distance, *[c for c in rows.columns if c != "fingerprint"])
     keys = ["segment", "wildcard", "rest"]
     dealt = kinds.repartition(n, *keys).sortWithinPartitions(*keys, "size")
 
