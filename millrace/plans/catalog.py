@@ -536,7 +536,27 @@ def text_placeholders(t):
     return t.documents.select("doc_id", strings.replace_each(F.col("text"), {"The ": "Positive ", "And ": ""}).alias("text"))
 
 
-@query()
+_BOOST = " + ".join(f"coalesce(CASE b{k} WHEN 'in' THEN 1 WHEN 'for' THEN -1 END, 0) * CAST({sentiment.STEP * left} AS DOUBLE) * sign(v)" for k, left in sentiment.DAMPED.items())
+_NEGATED = " OR ".join(f"coalesce(b{k} IN ('not', 'is'), FALSE)" for k in sentiment.DAMPED)
+
+
+@query(
+    f"""WITH lexicon AS (SELECT * FROM {_VALUES}),
+d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[^\\p{{L}}'']+|[^\\p{{L}}'']+$', '', 'g'), '[^\\p{{L}}'']+') AS w,
+  least(length(text) - length(replace(text, '!', '')), {sentiment.MOST_EXCLAMATIONS}) AS bangs, length(text) - length(replace(text, '?', '')) AS asks FROM documents),
+words AS (SELECT doc_id, bangs, asks, unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM d),
+f AS (SELECT *, lower(raw) AS token, upper(raw) = raw AND lower(raw) <> raw AND length(raw) > 1 AS caps FROM words WHERE raw <> ''),
+x AS (SELECT f.*, coalesce(valence, 0) AS v, {", ".join(f"lag(token, {k}) OVER p AS b{k}" for k in sentiment.DAMPED)},
+  max(CASE WHEN token = 'but' THEN pos END) OVER q AS but, bool_and(caps) OVER q AS all_caps
+  FROM f LEFT JOIN lexicon USING (token) WINDOW p AS (PARTITION BY doc_id ORDER BY pos), q AS (PARTITION BY doc_id)),
+y AS (SELECT *, (v + CASE WHEN caps AND NOT all_caps THEN sign(v) * CAST({sentiment.CAPITALS} AS DOUBLE) ELSE 0 END + {_BOOST}) * CASE WHEN {_NEGATED} THEN CAST({sentiment.NEGATED} AS DOUBLE) ELSE 1 END
+  * CASE WHEN pos < but THEN {sentiment.BEFORE_BUT} WHEN pos > but THEN {sentiment.AFTER_BUT} ELSE 1 END AS r FROM x),
+z AS (SELECT *, CASE WHEN v = 0 THEN CAST(0 AS DOUBLE) ELSE r END AS s FROM y),
+g AS (SELECT doc_id, sum(s) AS total, sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END) AS p, sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END) AS m, CAST(count(*) FILTER (s = 0) AS DOUBLE) AS u,
+  max(bangs) * CAST({sentiment.EXCLAMATION} AS DOUBLE) + CASE WHEN max(asks) > 3 THEN CAST({sentiment.MANY_QUESTIONS} AS DOUBLE) WHEN max(asks) > 1 THEN max(asks) * CAST({sentiment.QUESTION} AS DOUBLE) ELSE 0 END AS e FROM z GROUP BY doc_id),
+h AS (SELECT doc_id, total + sign(total) * e AS t, CASE WHEN p > m THEN p + e ELSE p END AS p, CASE WHEN m > p THEN m + e ELSE m END AS m, u FROM g)
+SELECT doc_id, round(m / (p + m + u), 3) AS neg, round(u / (p + m + u), 3) AS neu, round(p / (p + m + u), 3) AS pos, round(t / sqrt(t * t + {sentiment.ALPHA}), 4) AS compound FROM h"""
+)
 def text_lexicon_context(t):
     return sentiment.context_score(t.documents, "doc_id", "text", _lexicon(t), ["not", "is"], {"in": 1, "for": -1})
 
