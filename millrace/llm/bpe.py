@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.scratch import new_path
-from millrace.llm.shared import mapped, put
+from millrace.llm.shared import forget, mapped, put
 
 #: Bytes of text that are encoded at once, text that a shard of the vocabulary stands for, and bytes of units replayed at once.
 BLOCK, SHARD_BYTES, REPLAYED = 4 << 20, 64 << 20, 2 << 20
@@ -334,7 +334,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, known:
         flat, n = encode_texts(batch.column(1), merges(path), pattern, known)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(flat))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
-    mapped.cache_clear()  # pages of maps count as a worker's memory in later stages
+    forget()
     blocks.give_back()
 
 

@@ -1,10 +1,14 @@
-"""Arrays as raw little-endian files in the shared folder: written by tasks, memory-mapped by workers."""
+"""Arrays as raw little-endian files in the shared folder: written by tasks, memory-mapped by workers.
+
+Where the folder has no path (an object store), workers read the arrays that they use into memory of bounded size.  Nothing is
+copied to a machine's own disk.
+"""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -44,16 +48,30 @@ def put(uri: str, array: np.ndarray) -> None:
 
 
 @lru_cache(maxsize=100_000)
+def _memory_map(path: str, kind: str) -> np.ndarray:
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+
+
+#: Arrays read from stores without paths, the last used ones at the end, and how many bytes of them a worker keeps.
+_read: OrderedDict[str, np.ndarray] = OrderedDict()
+KEPT = 256 << 20
+
+
 def mapped(uri: str, kind: str) -> np.ndarray:
-    """The file as a read-only memory map; from a store without paths, of a local copy that is unlinked once mapped."""
+    """The file as a read-only memory map; from a store without paths, read into memory, of which a worker keeps the last used ``KEPT`` bytes."""
     if (path := _local(uri)) is not None:
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    store, path = _store(uri)
-    handle, copy = tempfile.mkstemp()
-    with os.fdopen(handle, "wb") as out, store.open_input_stream(path) as source:
-        while part := source.read(1 << 24):
-            out.write(part)
-    try:
-        return np.memmap(copy, kind, "r") if os.path.getsize(copy) else np.zeros(0, kind)
-    finally:
-        os.unlink(copy)
+        return _memory_map(path, kind)
+    if uri not in _read:
+        store, path = _store(uri)
+        with store.open_input_file(path) as source:
+            _read[uri] = np.frombuffer(source.read_buffer(), np.uint8)
+        while len(_read) > 1 and sum(x.nbytes for x in _read.values()) > KEPT:
+            _read.popitem(last=False)
+    _read.move_to_end(uri)
+    return _read[uri].view(kind)
+
+
+def forget() -> None:
+    """Drops all maps: their pages count as a worker's memory in later stages."""
+    _memory_map.cache_clear()
+    _read.clear()

@@ -313,7 +313,7 @@ def _bucketed(rows: DataFrame, distance: int, of_bucket, schema: str) -> DataFra
             held.append(batch.slice(int(cuts[-1])) if len(cuts) else batch)
         yield from ended()
         batch = k = None
-        shared.mapped.cache_clear()  # pages of maps count as a worker's memory in later stages
+        shared.forget()
         blocks.give_back()
 
     return dealt.mapInArrow(run, schema)

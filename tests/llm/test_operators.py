@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import brute
 from brute import ALNUM, SPACED, low
-from millrace.llm import bpe, dac, decontaminate, graph, kneser_ney, linededup, ranking, rules, secrets, simhash, statistics, tokenfiles, toxicity
+from millrace.llm import bpe, dac, decontaminate, graph, kneser_ney, linededup, ranking, rules, secrets, shared, simhash, statistics, tokenfiles, toxicity
 from millrace.llm.scratch import new_path
 
 BPE, WORD = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -298,6 +298,23 @@ def test_language_model_of_nothing(spark, docs, empty):
     assert kneser_ney.score(docs, model).count() == docs.count()
 
 
+def test_arrays_of_a_store_without_paths(tmp_path, monkeypatch):
+    """They are read as they are asked for, and no more of them is kept than a bound says."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(shared, "_store", lambda uri: (fs.LocalFileSystem(), uri.replace("far://", f"{tmp_path}/")))
+    monkeypatch.setattr(shared, "KEPT", 10_000)
+    arrays = {f"far://x/{k}": np.arange(k * 100, dtype="<u8") for k in range(9)}
+    for uri, a in arrays.items():
+        shared.put(uri, a)
+    for _ in range(2):
+        for uri, a in arrays.items():
+            assert (shared.mapped(uri, "<u8") == a).all()
+            assert sum(x.nbytes for x in shared._read.values()) <= 10_000
+    shared.forget()
+    assert not shared._read
+
+
 # SimHash
 
 
