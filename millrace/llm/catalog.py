@@ -68,4 +68,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_language_model, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash)}
-ORACLES: dict[str, str] = {"op8_line_dedup": linededup.SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op8_line_dedup": linededup.SQL}

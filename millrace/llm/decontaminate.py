@@ -304,3 +304,23 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     # a clean row goes if it shares 64 bits with a contaminated one: one in 2 ** 64 for each pair of the two kinds
     rows = packed(docs).withColumn("key", F.col("key.a"))
     return unpacked(rows.join(stored(hit, "contaminated"), "key", "left_anti"), docs.columns)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAMS = " UNION ALL ".join(
+    f"SELECT r, pos, {n} AS n, concat_ws(' ', {', '.join(f'w{k}' for k in range(n))}) AS p FROM led WHERE pos + {n - 1} <= size AND {n} IN (SELECT n FROM phrases)" for n in range(1, 11)
+)
+#: ``report`` in SQL: runs of 1 to 10 words of each text, joined to those of the items.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+owned AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS p FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
+phrases AS (SELECT DISTINCT n, p FROM owned),
+words AS (SELECT r, len(w) AS size, unnest(w) AS w0, generate_subscripts(w, 1) AS pos FROM d),
+led AS (SELECT *, {", ".join(f"lead(w0, {k}) OVER s AS w{k}" for k in range(1, 10))} FROM words WINDOW s AS (PARTITION BY r ORDER BY pos)),
+hits AS (SELECT r, pos, n, p FROM ({_GRAMS}) SEMI JOIN phrases USING (n, p)),
+covered AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(pos, pos + n)) AS x FROM hits) GROUP BY r),
+listed AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits JOIN owned USING (n, p) WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
