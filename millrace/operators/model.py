@@ -22,7 +22,8 @@ def split_counts(df: DataFrame, key: str) -> DataFrame:
 def fit(df: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestRegressionModel:
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df).select("features", F.col(target).cast("double").alias("label")).cache()
     try:
-        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=depth, seed=seed).fit(rows)
+        # the node that each row has reached is kept, as deep trees are costly to send and to walk at every level
+        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=depth, seed=seed, cacheNodeIds=True).fit(rows)
     finally:
         rows.unpersist()
 
