@@ -43,6 +43,8 @@ _BLOCK = 3 << 20
 _TIE = np.float32(2e-6)
 #: Weight of the shares as they are in the fit of the curve.
 _PULL = 1.0
+#: Examples whose votes are counted at once in the fit.
+_EXAMPLES = 256
 #: Votes that the base rate has.
 PRIOR = 0.3
 #: Lengths, in characters, of the beginnings of words that count as terms; such a term ends in "*".
@@ -262,7 +264,10 @@ class Index:
         if not len(self.ids) or self.labels.min() == self.labels.max():
             return
         owner, term, times = self.rows
-        _, _, _, votes = self.nearest(owner, term, times, k + 1)
+        votes = np.zeros((len(self.ids), 2))
+        for at in range(0, len(votes), _EXAMPLES):  # all at once would take some 400 MB
+            a, b = np.searchsorted(owner, [at, at + _EXAMPLES])
+            votes[at : at + _EXAMPLES] = self.nearest(owner[a:b] - at, term[a:b], times[a:b], k + 1)[3]
         left = np.maximum(votes - np.stack([self.labels, np.ones(len(self.labels))], axis=1), 0)
         share = self._share(left)
         x, n1 = np.log(share / (1 - share)), self.labels.sum()
@@ -307,6 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     rows = examples.select("text", "doc_id", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, times array<int>").collect()  # ``most`` rows of the chosen terms in each
     index = Index(terms, sorted((r["doc_id"], r["label"], list(r["terms"]), list(r["times"])) for r in rows))
     index.calibrate(k)
+    blocks.give_back()
     return index
 
 
