@@ -45,6 +45,8 @@ _TIE = np.float32(2e-6)
 _PULL = 1.0
 #: Examples whose votes are counted at once in the fit.
 _EXAMPLES = 256
+#: Texts with a block each that are opened at once: what they hold is bounded by the postings of so many blocks.
+_PAIRS = 1024
 #: Votes that the base rate has.
 PRIOR = 0.3
 #: Lengths, in characters, of the beginnings of words that count as terms; such a term ends in "*".
@@ -219,8 +221,8 @@ class Index:
             open_ = np.flatnonzero((reach >= best[:, -1]) & (reach > 2e-5))
             if not len(open_):
                 break
-            for at in range(0, len(open_), 4096):
-                rows = open_[at : at + 4096]
+            for at in range(0, len(open_), _PAIRS):
+                rows = open_[at : at + _PAIRS]
                 score, example = self._opened(block[rows], term, w, first[rows], n[rows])
                 both, names = np.concatenate([best[rows], score], axis=1), np.concatenate([which[rows], np.where(score > 0, example, -1)], axis=1)
                 # which of equal ones is named makes no difference to the votes
@@ -245,8 +247,8 @@ class Index:
         """(votes for label 1, votes in all) of each text: of all examples as near as its k-th, so that ties all count."""
         votes = np.zeros((len(least), 2))
         rows, block = np.nonzero((bound >= least[:, None] - _TIE) & (bound > 2e-5))
-        for at in range(0, len(rows), 4096):
-            own, opened = rows[at : at + 4096], block[at : at + 4096]
+        for at in range(0, len(rows), _PAIRS):
+            own, opened = rows[at : at + _PAIRS], block[at : at + _PAIRS]
             score, example = self._opened(opened, term, w, first[own], n[own])
             vote = np.where((score > 0) & (score >= least[own][:, None] - _TIE), score.astype(np.float64) ** 2, 0.0)
             np.add.at(votes, own, np.stack([(vote * self.labels[example]).sum(axis=1), vote.sum(axis=1)], axis=1))
