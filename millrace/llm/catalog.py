@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, kneser_ney, linededup, ranking, rules, secrets, simhash, tokenfiles, toxicity
+from millrace.llm import bpe, decontaminate, kneser_ney, linededup, negatives, ranking, resampling, rules, secrets, sharding, simhash, tokenfiles, toxicity
 from millrace.llm.labelled import remainder
 
 
@@ -67,5 +67,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_language_model, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash)}
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op8_line_dedup": linededup.SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_language_model, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_quality_rules, op8_line_dedup, op9_quality_ranking, op10_simhash, op11_importance_resampling, op12_hilbert_sharding, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op8_line_dedup": linededup.SQL, "op13_hard_negatives": negatives.SQL}

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -117,3 +119,39 @@ def counts(t):
     five = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
     covered = {x for k in range(len(w) - 4) if five[tuple(w[k : k + 5])] > 1 for x in range(k, k + 5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def resampled(docs, target, runs=1, buckets=10000, percent=10, least=20, seed=2024):
+    """(id, features, weight, score, rank) of (id, text) rows; ranks of rows that tie in score and id are in no order."""
+
+    def features(t):
+        w = ALNUM.findall(low(t))
+        return w, [" ".join(w[k : k + n]) for n in range(1, runs + 1) for k in range(len(w) - n + 1)]
+
+    bucket = lambda x: zlib.crc32(x.encode()) % buckets
+    s, t = (collections.Counter(bucket(x) for text in texts for x in features(text)[1]) for texts in ([d[1] for d in docs], target))
+    all_s, all_t = s.total() + buckets, t.total() + buckets
+    gain = [math.floor(1000 * math.log((t[k] + 1) * all_s / ((s[k] + 1) * all_t))) for k in range(buckets)]
+    rows = []
+    for i, text in docs:
+        words, own = features(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(x)] for x in own)
+        rows.append([i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words)])
+    able = sorted((r for r in rows if r[-1] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(able[: percent * len(able) // 100], 1):
+        r[4] = rank
+    return [tuple(r[:-1]) for r in rows]
+
+
+def negatives(rows, anchor=lambda i: i % 50 == 0, positives=5, count=3, low=50, high=95):
+    """(anchor, positive, rank, negative, scores) of distinct (id, label, integers) rows, every anchor against every row."""
+    rows, out = list(dict.fromkeys((i, l, tuple(v)) for i, l, v in rows)), []
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for a in rows:
+        if a[0] is not None and anchor(a[0]):
+            order = sorted(((-dot(a[2], r[2]), r[0] is None, r[0] or 0, r) for r in rows if r != a), key=lambda x: x[:3])
+            for score, _, _, p in [x for x in order if x[3][1] == a[1]][:positives]:
+                fit = [x for x in order if x[3][1] != a[1] and low * -score <= 100 * -x[0] <= high * -score]
+                out += [(a[0], p[0], k, x[3][0], -score, -x[0]) for k, x in enumerate(fit[:count], 1)]
+    return out

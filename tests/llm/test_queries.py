@@ -39,6 +39,8 @@ def folder(spark, docs, tmp_path_factory):
     labels = [(i, None if i is None or i % 11 == 0 else int(i % 3 > 0), int(i is not None and i % 4 == 0)) for i in ids]
     labels += [(ids[3], 1, 1), (ids[3], 0, 0), (None, 1, 1), (10**12, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    vectors = [(k, [(k % 5) / 4, -(k % 3) / 2, float(k % 7), 1e-3 * k], k % 3) for k in range(120)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     items = [(7, long[20:120]), (8, "quick fox"), (8, "quick fox"), (9, None), (None, "the of And"), (10, "")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
@@ -76,7 +78,7 @@ def test_clear_removes_intermediate_tables(spark):
 
 
 def test_every_number_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, folder, rows):
@@ -188,6 +190,27 @@ def test_op10(spark, folder, rows):
     same([tuple(r) for r in run(spark, folder, "op10_simhash").collect()], [(i, f"{f:016x}", least[g]) for (i, _), f, g in zip(pairs(rows), prints, group)])
 
 
+def test_op11(spark, folder, rows):
+    items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    got = run(spark, folder, "op11_importance_resampling")
+    assert got.columns[:5] == ["doc_id", "n_features", "weight", "score", "rank"]
+    same([tuple(r)[:5] for r in got.collect()], brute.resampled(pairs(rows), items))
+
+
+def test_op12(spark, folder, rows):
+    got = run(spark, folder, "op12_hilbert_sharding")
+    assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    found = got.collect()
+    sizes = [len((t or "").encode()) + 1 for _, t in pairs(rows)]
+    same([tuple(r)[:4] for r in found], [(i, n, zlib.crc32((t or "").encode()), "bytes") for (i, t), n in zip(pairs(rows), sizes)])
+    for k in range(16):
+        own = sorted((r for r in found if r["shard"] == k), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        assert [r["curve"] for r in own] == sorted(r["curve"] for r in own)
+        assert abs(sum(r["size"] for r in own) - sum(sizes) / 16) <= max(sizes)
+    assert all(r["grown_shard"] is None and 0 <= r["shard"] < 16 for r in found)
+
+
 def plain_pipeline(spark, folder, rows):
     """run()'s rows by plain forms; of toxicity the scores, which test_op5 holds against the index and others against brute force."""
     table = spark.read.parquet(f"{folder}/documents.parquet")
@@ -222,14 +245,14 @@ def test_pipeline_on_documents(spark):
     same([tuple(r) for r in corpus_pipeline.run(spark, folder).collect()], plain_pipeline(spark, folder, rows))
 
 
-@pytest.mark.parametrize("empty_tables", [["labels", "benchmark"], ["documents", "labels", "benchmark"]])
+@pytest.mark.parametrize("empty_tables", [["labels", "benchmark"], ["documents", "labels", "benchmark", "embeddings"]])
 def test_empty_tables(spark, folder, tmp_path, empty_tables):
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "embeddings"):
         table = spark.read.parquet(f"{folder}/{name}.parquet")
         (table.limit(0) if name in empty_tables else table).write.parquet(f"{tmp_path}/{name}.parquet")
     n = 0 if "documents" in empty_tables else spark.read.parquet(f"{folder}/documents.parquet").count()
     path = f"file://{tmp_path}"
-    for name in catalog.QUERIES if n == 0 else ["op1_decontamination", "op5_toxicity", "op7_quality_rules", "op9_quality_ranking"]:
+    for name in catalog.QUERIES if n == 0 else ["op1_decontamination", "op5_toxicity", "op7_quality_rules", "op9_quality_ranking", "op11_importance_resampling"]:
         assert run(spark, path, name).count() == n, name
     got = corpus_pipeline.run(spark, path)
     assert (got.count() > 0) == (n > 0) and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
