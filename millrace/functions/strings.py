@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -71,11 +70,3 @@ def first_contained(text: Column, parts: Sequence[str], then: Mapping[str, Seque
 def link_texts(html: Column) -> Column:
     """Texts of the links of list items or table cells, in order."""
     return F.regexp_extract_all(html, F.lit(r"<(?:li|td)[^>]*><a[^>]*>([^<]*)</a>"), F.lit(1))
-
-
-def table_links(html: Column, css_class: str) -> Column:
-    """For each row of the page's first table of a class, the text of its first link without tags; rows without one are left out."""
-    named = rf"""(?is)<table\b(?=[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(css_class)}(?:\s[^"']*)?["'])[^>]*>(.*?)</table>"""
-    rows = F.regexp_extract_all(F.regexp_extract(html, named, 1), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    text = lambda row: trim_space(F.regexp_replace(F.regexp_extract(row, r"(?is)<a\b[^>]*>(.*?)</a>", 1), "<[^>]*>", ""))
-    return F.filter(F.transform(rows, text), lambda x: x != "")

@@ -1 +1,3 @@
-"""Queries over the driver's tables, each beside its SQL."""
+"""Queries over the driver's tables; ``catalog`` has them all by name."""
+
+from millrace.plans import catalog, files, places, summaries  # noqa: F401

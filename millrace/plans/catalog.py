@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import sources
-from millrace.functions import numbers, predicates, strings
+from millrace.functions import html, numbers, predicates, strings
 from millrace.operators import features, model, profile, relational, sentiment, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,7 +419,7 @@ def html_link_extract(t):
 def html_table_links(t):
     # the pages have lists and no tables: each list becomes a table of one class, each item a row
     table = strings.replace_each(F.col("html"), {"<ul>": '<table border="1" class="wide standard">', "</ul>": "</table>", "<li>": "<tr class='x'>\n <td>", "</li>": "</td> </tr>"})
-    return t.pages.select("page_id", F.posexplode(strings.table_links(table, "standard")).alias("pos", "link"))
+    return t.pages.select("page_id", F.posexplode(html.table_links(table, "standard")).alias("pos", "link"))
 
 
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text FROM documents")

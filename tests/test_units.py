@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace import sources, streaming
-from millrace.functions import numbers, predicates, strings
+from millrace.functions import html, numbers, predicates, strings
 from millrace.operators import features, model, profile, relational, sentiment, stats
 
 
@@ -160,9 +160,9 @@ def test_table_links(spark):
     page = """<table class=other><tr><td><a>no</a></td></tr></table><TABLE id="t" class="wide standard">
     <tr><th>Name</th></tr><tr class="r"><td> <a href="/x" title='y'>\n <b>One</b> company </a></td><td><a>second</a></td></tr>
     <tr><td>none</td></tr><tr><td><a>Two</a></td></tr></table><table class="standard"><tr><td><a>later</a></td></tr></table>"""
-    assert one(spark, page, strings.table_links(F.col("x"), "standard")) == ["One company", "Two"]
-    assert one(spark, "<p>", strings.table_links(F.col("x"), "standard")) == []
-    assert one(spark, page, strings.table_links(F.col("x"), "stand")) == []
+    assert one(spark, page, html.table_links(F.col("x"), "standard")) == ["One company", "Two"]
+    assert one(spark, "<p>", html.table_links(F.col("x"), "standard")) == []
+    assert one(spark, page, html.table_links(F.col("x"), "stand")) == []
 
 
 def test_jdbc(spark, tmp_path):
