@@ -93,7 +93,9 @@ def context_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, negato
         F.sum(F.when(F.col("s") < 0, F.col("s") - 1).otherwise(0.0)).alias("m"),
         F.count_if(F.col("s") != 0).alias("hits"),
     )
-    every = words.groupBy(key).agg(F.sum(n).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks")).join(sums, key, "left")
+    every = words.groupBy(key).agg(F.sum(n).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks"))
+    # a null key is a text like any other
+    every = every.join(sums.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     emphasis = F.least("bangs", F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION + F.when(F.col("asks") > 3, MANY_QUESTIONS).when(F.col("asks") > 1, F.col("asks") * QUESTION).otherwise(0.0)
     out = every.withColumns({"total": zero("total"), "p": zero("p"), "m": zero("m"), "u": F.col("n") - F.coalesce("hits", F.lit(0)), "e": emphasis})

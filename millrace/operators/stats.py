@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import relative_error
+from millrace.operators import correlation
+
+MANY = 30
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_i, col_j, r) of all pairs, the later column first, in one aggregation; null with a constant column."""
+    """(col_i, col_j, r) of all pairs, the later column first, in one aggregation; null with a constant column.
+
+    Over ``MANY`` columns the sums come from one Gramian, as a plan of all pairs would be too long to compile.
+    """
+    if len(columns) > MANY:
+        return correlation.pearson(df, columns).drop("n")
     pairs = [(b, a) for a, b in combinations(columns, 2)]
     sums = []
     for k, (i, j) in enumerate(pairs):
@@ -27,16 +33,12 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_i, col_j, r) by average ranks; ranking is distributed, only the matrix of the columns comes back."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v", handleInvalid="skip").transform(df.select(*columns)).select("__v")
-    matrix = Correlation.corr(vectors, "__v", "spearman").first()[0].toArray()
-    at = {c: k for k, c in enumerate(columns)}
-    rows = [(b, a, None if (r := float(matrix[at[b], at[a]])) != r else round(r, 6)) for a, b in combinations(columns, 2)]
-    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, r double")
+    """(col_i, col_j, r) by average ranks, of each pair among the rows that have both values."""
+    return correlation.spearman(df, columns).drop("n")
 
 
 def collinear(correlations: DataFrame, bound: float) -> DataFrame:
-    """(column) of the later column of each pair at least ``bound`` alike, in either direction."""
+    """(column) of the later column of each pair at least ``bound`` alike, in either direction, whether or not the earlier one goes too."""
     return correlations.filter(F.abs("r") >= bound).select(F.col("col_i").alias("column")).distinct()
 
 

@@ -41,6 +41,15 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
 
 
+def read_jdbc_by_range(spark: SparkSession, url: str, name: str, key: str, parts: int, **options: str) -> DataFrame:
+    """``read_jdbc`` in ranges between the key's least and largest value, which the server is asked for first."""
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = spark.read.format("jdbc").options(url=url, query=f"SELECT min({quoted}) AS low, max({quoted}) AS high FROM {name}", **options).load().first()
+    low, high = (0, 0) if ends[0] is None else ends
+    # of one value all ranges but one would be empty, and the upper bound must be the larger
+    return read_jdbc(spark, url, name, key, int(low), int(high) + 1, max(1, min(parts, int(high) - int(low) + 1)), **options)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; the schema is given, so nothing is read to guess it."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', nullValue=NULL)

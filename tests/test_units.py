@@ -217,3 +217,10 @@ def test_stream_has_the_features_of_a_batch(spark, tmp_path):
 def test_views(spark, sf_dir):
     sources.register(spark, sf_dir, ["orders"])
     assert spark.sql("SELECT count(*) FROM orders").first()[0] > 0
+
+
+def test_context_of_a_null_key(spark):
+    lexicon = spark.createDataFrame([("good", 2.0)], "token string, valence double")
+    df = spark.createDataFrame([(None, "a good day"), (1, "a good day"), (2, "a day")], "k int, text string")
+    got = {r.k: r.compound for r in sentiment.context_score(df, "k", "text", lexicon, ["not"], {"very": 1}).collect()}
+    assert got == {None: 0.4588, 1: 0.4588, 2: 0.0}
