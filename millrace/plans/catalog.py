@@ -625,13 +625,19 @@ def _parts(t) -> DataFrame:
     return coded.join(lines, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name", "p_brand", *_CANDIDATES, _TARGET)
 
 
+#: Forests by application and folder of tables: the queries of one session share one fit.
+_FORESTS: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(t):
     """(the parts, the features that are left after screening, a forest fitted to the training part of them)."""
-    parts = _parts(t)
-    train = parts.filter(model.in_training("p_partkey"))
-    drop = {r[0] for r in stats.collinear(stats.pearson(train, _CANDIDATES), 0.9).collect()}
-    names = [c for c in _CANDIDATES if c not in drop]
-    return parts, names, model.fit(train, names, _TARGET)
+    parts, own = _parts(t), (t.spark.sparkContext.applicationId, t.folder)
+    if own not in _FORESTS:
+        train = parts.filter(model.in_training("p_partkey"))
+        drop = {r[0] for r in stats.collinear(stats.pearson(train, _CANDIDATES), 0.9).collect()}
+        names = [c for c in _CANDIDATES if c not in drop]
+        _FORESTS[own] = names, model.fit(train, names, _TARGET)
+    return parts, *_FORESTS[own]
 
 
 @query()
