@@ -6,7 +6,9 @@ copied to a machine's own disk.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections import OrderedDict
 from functools import lru_cache
@@ -47,9 +49,18 @@ def put(uri: str, array: np.ndarray) -> None:
         store.delete_file(f"{path}{own[len(uri):]}")  # another attempt was first; it wrote the same
 
 
-@lru_cache(maxsize=100_000)
+#: Maps that a worker holds, the last used ones; a process may have 65,530 on Linux.
+MAPS = 30_000
+
+
+@lru_cache(maxsize=MAPS)
 def _memory_map(path: str, kind: str) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    """A map outlives the file's descriptor, so that no number of files meets the limit of open ones."""
+    with open(path, "rb") as source:
+        if not os.fstat(source.fileno()).st_size:
+            return np.zeros(0, kind)
+        apart = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return np.frombuffer(mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ, **apart), kind)
 
 
 #: Arrays read from stores without paths, the last used ones at the end, and how many bytes of them a worker keeps.

@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import resource
 import zlib
 
 import numpy as np
@@ -315,6 +317,22 @@ def test_arrays_of_a_store_without_paths(tmp_path, monkeypatch):
     assert not shared._read
 
 
+def test_more_maps_than_open_files(tmp_path):
+    """2,000 arrays mapped at once where a process may have 256 files open, and few kept where few maps are allowed."""
+    for k in range(2000):
+        shared.put(f"{tmp_path}/{k}", np.arange(k % 7, dtype=np.int64))
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256 + len(os.listdir("/proc/self/fd")), limits[1]))
+    try:
+        shared.forget()
+        held = [shared.mapped(f"{tmp_path}/{k}", "<i8") for k in range(2000)]
+        assert all((a == np.arange(k % 7)).all() for k, a in enumerate(held))
+        assert shared._memory_map.cache_info().currsize == 2000 <= shared.MAPS < 65_530
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+        shared.forget()
+
+
 # SimHash
 
 
