@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ALPHA, NEGATED, STEP, DAMPED = 15.0, -0.74, 0.293, {1: 1.0, 2: 0.95, 3: 0.9}
 CAPITALS, BEFORE_BUT, AFTER_BUT = 0.733, 0.5, 1.5
 EXCLAMATION, MOST_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
+#: Tokens of a lexicon that may stand in the plan.
+FEW = 10_000
 
 
 def overridden(lexicon: DataFrame, changes: DataFrame) -> DataFrame:
@@ -27,6 +29,12 @@ def compound(total: Column) -> Column:
     return total / F.sqrt(total * total + ALPHA)
 
 
+def _few_tokens(lexicon: DataFrame) -> list[str] | None:
+    """The tokens of a lexicon that has few, each once; else None."""
+    tokens = [r[0] for r in lexicon.select("token").limit(FEW + 1).collect()]
+    return tokens if len(tokens) <= FEW and len(set(tokens)) == len(tokens) and None not in tokens else None
+
+
 def _words(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda x: x != "")
 
@@ -62,7 +70,7 @@ def context_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, negato
     A valence changes with the three words before it (negators; boosters, +1 or -1, toward the word's sign), with capitals in
     a text that isn't all capitals, and with its side of the last "but"; ! and ? add emphasis to the whole.  Each word takes
     what the rules need of its neighbours along before it becomes a row, so no row holds a text and nothing needs a window;
-    only words of the lexicon are grouped.
+    only words of the lexicon are grouped.  With a lexicon of up to ``FEW`` tokens only these become rows, and texts are read once.
     """
     marks = lambda c: F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))
     parts = F.split(F.regexp_replace(F.col(text), r"^[^\p{L}']+|[^\p{L}']+$", ""), r"[^\p{L}']+")
@@ -73,8 +81,16 @@ def context_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, negato
     last_but = F.when(F.array_contains("t", "but"), n - F.array_position(F.reverse("t"), "but"))
     whole = words.withColumns({"n": n, "but": last_but, "all_caps": F.forall("w", caps)})
     near = lambda i, k: F.get(F.col("t"), i - k).alias(f"b{k}")
-    beside = F.transform("w", lambda x, i: F.struct(F.get(F.col("t"), i).alias("token"), i.alias("pos"), caps(x).alias("caps"), *[near(i, k) for k in DAMPED]))
-    rows = whole.select(key, "but", "all_caps", F.explode(beside).alias("x")).select(key, "but", "all_caps", "x.*").join(lexicon, "token")
+    beside = lambda w, i: F.struct(F.get(F.col("t"), i).alias("token"), i.alias("pos"), caps(w).alias("caps"), *[near(i, k) for k in DAMPED])
+    tokens = _few_tokens(lexicon)
+    if tokens is None:
+        rows = whole.select(key, "but", "all_caps", F.explode(F.transform("w", beside)).alias("x")).select(key, "but", "all_caps", "x.*").join(lexicon, "token")
+    else:
+        # only words of the lexicon become rows; the first of a text, or a row without a word, stands for the text itself
+        at = F.filter(F.transform("t", lambda x, i: F.when(x.isin(tokens), i)), lambda i: i.isNotNull())
+        hits = F.transform(at, lambda i: beside(F.get("w", i), i))
+        texts = whole.select(key, "but", "all_caps", "n", "bangs", "asks", F.posexplode_outer(hits).alias("__k", "x"))
+        rows = texts.select(key, "but", "all_caps", "n", "bangs", "asks", "__k", "x.*").join(F.broadcast(lexicon), "token", "left")
     s = F.col("valence")
     sign = F.signum(s)
     s = s + F.when(F.col("caps") & ~F.col("all_caps"), sign * CAPITALS).otherwise(0.0)
@@ -87,15 +103,19 @@ def context_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, negato
     s = F.when(negated, s * NEGATED).otherwise(s)
     s = F.when(F.col("pos") < F.col("but"), s * BEFORE_BUT).when(F.col("pos") > F.col("but"), s * AFTER_BUT).otherwise(s)
     scored = rows.withColumn("s", F.when(F.col("valence") == 0, 0.0).otherwise(s))
-    sums = scored.groupBy(key).agg(
+    sums = [
         F.sum("s").alias("total"),
         F.sum(F.when(F.col("s") > 0, F.col("s") + 1).otherwise(0.0)).alias("p"),
         F.sum(F.when(F.col("s") < 0, F.col("s") - 1).otherwise(0.0)).alias("m"),
         F.count_if(F.col("s") != 0).alias("hits"),
-    )
-    every = words.groupBy(key).agg(F.sum(n).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks"))
-    # a null key is a text like any other
-    every = every.join(sums.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    ]
+    if tokens is None:
+        every = words.groupBy(key).agg(F.sum(n).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks"))
+        # a null key is a text like any other
+        every = every.join(scored.groupBy(key).agg(*sums).withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    else:
+        once = F.when(F.coalesce("__k", F.lit(0)) == 0, F.col("n")).otherwise(0)
+        every = scored.groupBy(key).agg(F.sum(once).alias("n"), F.max("bangs").alias("bangs"), F.max("asks").alias("asks"), *sums)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     emphasis = F.least("bangs", F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION + F.when(F.col("asks") > 3, MANY_QUESTIONS).when(F.col("asks") > 1, F.col("asks") * QUESTION).otherwise(0.0)
     out = every.withColumns({"total": zero("total"), "p": zero("p"), "m": zero("m"), "u": F.col("n") - F.coalesce("hits", F.lit(0)), "e": emphasis})

@@ -224,3 +224,14 @@ def test_context_of_a_null_key(spark):
     df = spark.createDataFrame([(None, "a good day"), (1, "a good day"), (2, "a day")], "k int, text string")
     got = {r.k: r.compound for r in sentiment.context_score(df, "k", "text", lexicon, ["not"], {"very": 1}).collect()}
     assert got == {None: 0.4588, 1: 0.4588, 2: 0.0}
+
+
+def test_context_with_large_lexicons(spark, monkeypatch):
+    """The same whether the lexicon's tokens stand in the plan or in a table, with repeated and null keys and texts without a hit."""
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.5), ("so", 0.0)], "token string, valence double")
+    texts = ["a GOOD day, not bad!", "so so", "but good? bad?? ok", "nothing here!!", None, "", "good but very bad", "VERY GOOD"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "good!"), (0, "not good"), (None, "none of it")], "k int, text string").repartition(3)
+    score = lambda: sorted(map(repr, sentiment.context_score(df, "k", "text", lexicon, ["not"], {"very": 1}).collect()))
+    few = score()
+    monkeypatch.setattr(sentiment, "FEW", 1)
+    assert score() == few and len(few) == 7
