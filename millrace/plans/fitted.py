@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import encoders, phrases
+from millrace.operators import encoders, phrases, sentiment
+from millrace.plans import catalog
 from millrace.plans.catalog import query
 
 # Encoders --------------------------------------------------------------------------------------------------------------
@@ -73,3 +74,25 @@ SELECT doc_id, n_hits, round(total, 6) AS total, round(m / (p + m + z), 3) AS ne
 )
 def text_phrase_score(t):
     return phrases.score(t.documents, "doc_id", "text", t.spark.createDataFrame(PHRASES, "token string, valence double"))
+
+
+# A lexicon of more words -------------------------------------------------------------------------------------------------
+
+#: Frequent words of the corpus's four languages with signs, so that most texts have several of either.
+WORDS = [
+    ("the", 0.5), ("of", -1.0), ("and", 1.5), ("that", -0.25), ("with", 1.0), ("from", -0.5), ("this", 0.75), ("was", -0.75), ("by", 0.25), ("are", 1.25), ("at", -1.25), ("it", 0.0),
+    ("der", 0.75), ("die", -0.75), ("das", 1.0), ("und", 1.25), ("den", -0.5), ("von", 0.25), ("zu", -1.0), ("mit", 0.5), ("sich", -0.25), ("auf", 1.75), ("nicht", -2.5), ("ist", 0.5),
+    ("de", 0.25), ("la", -0.5), ("le", 0.5), ("des", -0.25), ("et", 0.5), ("les", -1.5), ("une", -0.75), ("pour", -1.75), ("dans", 0.25), ("pas", -2.25), ("qui", 1.0), ("sur", -1.0),
+    ("que", -1.25), ("el", 1.0), ("los", 2.0), ("las", -2.0), ("del", 1.75), ("por", -0.75), ("un", 0.75),
+]
+_MORE = "(VALUES " + ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in WORDS) + ") AS v(token, valence)"
+
+
+@query(catalog.ORACLES["text_lexicon_score"].replace(catalog._VALUES, _MORE))
+def text_polarity_words(t):
+    return sentiment.lexicon_score(t.documents, "doc_id", "text", t.spark.createDataFrame(WORDS, "token string, valence double"))
+
+
+@query(catalog.ORACLES["text_lexicon_context"].replace(catalog._VALUES, _MORE))
+def text_polarity_context(t):
+    return sentiment.context_score(t.documents, "doc_id", "text", t.spark.createDataFrame(WORDS, "token string, valence double"), ["not", "is"], {"in": 1, "for": -1})
