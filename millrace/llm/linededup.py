@@ -5,6 +5,9 @@ a third of all documents is no more work for a task than another.  Lines whose e
 decided by it, lines near it get an exact distinct count.  A line on at least ``sites`` sites is boilerplate: it stays in
 its first document (the smallest doc_id that has it) and goes from all others.
 
+A line is known by 64 bits of a hash.  Lines that share one count as one line: among 10^9 distinct lines the odds that any two do
+are 1 in 37, among 10^11 some 270 pairs are to be expected, and a pair matters only where their sites together reach the threshold.
+
 Defined cases: a null text stays null; a null site is no site; lines are compared as they are, and those with fewer than
 ``min_words`` words (counted by blanks) and fewer than ``min_chars`` characters besides blanks (for scripts that don't use
 them) are never boilerplate; a line that stands several times in its first document stays there as often; texts of any length

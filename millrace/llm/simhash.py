@@ -171,7 +171,8 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """(a, b): edges whose components are those of all links between distinct fingerprints (column ``fingerprint``).
 
     A bucket of more than ``LARGE`` fingerprints isn't compared where it is found: its rows are dealt anew by pieces of the
-    bits outside the bucket's segment, one of which agrees wholly in every link, so a task never holds one.
+    bits outside the bucket's segment, one of which agrees wholly in every link.  A bucket and a piece together fix so many bits that
+    few distinct fingerprints are left: at a distance of two all but 23 bits, so a task holds 2^23 of them, or 64 MB, at the very most.
     """
     n = partitions(prints.sparkSession)
     pieces = [_pieces(distance, k) for k in range(len(segments(distance)))]
