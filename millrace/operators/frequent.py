@@ -14,9 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources import checkpointed
+
 #: Items of a summary.  The sketch holds at least 4/3 of them, its counts are off by at most 3.5 / that of all rows, and it reports
 #: items whose count is surely over that error, so what it leaves out occurs at most twice the error.
 TRACKED, MISSED = 1 << 16, 2 * 3.5 * 3 / 4
+#: Tasks that merge the summaries of a group side by side before one merges theirs.
+SIDES = 64
 
 
 def most_frequent(df: DataFrame, column: str, k: int, keys: Sequence[str] = (), tracked: int = TRACKED, name: str = "n") -> DataFrame:
@@ -26,15 +30,17 @@ def most_frequent(df: DataFrame, column: str, k: int, keys: Sequence[str] = (),
     """
     own = [f"__{c}" for c in keys]
     rows = df.filter(F.col(column).isNotNull()).select(*[F.col(c).alias(o) for c, o in zip(keys, own)], F.col(column).alias("__value"))
-    parts = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__all"), F.call_function("approx_top_k_accumulate", F.col("__value"), F.lit(tracked)).alias("__state"))
-    found = parts.select(*own, "__all", F.call_function("approx_top_k_estimate", F.col("__state"), F.lit(tracked)).alias("__items"))
+    sides = rows.withColumn("__side", F.pmod(F.spark_partition_id(), F.lit(SIDES))).groupBy(*own, "__side").agg(F.count(F.lit(1)).alias("__n"), F.call_function("approx_top_k_accumulate", F.col("__value"), F.lit(tracked)).alias("__state"))
+    parts = sides.groupBy(*own).agg(F.sum("__n").alias("__all"), F.call_function("approx_top_k_combine", F.col("__state"), F.lit(tracked)).alias("__state"))
+    # a row of bounded size for each group, used three times
+    found = checkpointed(parts.select(*own, F.coalesce("__all", F.lit(0)).alias("__all"), F.call_function("approx_top_k_estimate", F.col("__state"), F.lit(tracked)).alias("__items")))
     # at most ``tracked`` items of each group; the planner sends them to all tasks where that is few
     kept = found.select(*[F.col(o).alias(f"{o}_") for o in own], "__all", F.explode("__items.item").alias("__item"))
     same = F.col("__value") == F.col("__item")
     for o in own:
         same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
     counts = rows.join(kept.drop("__all"), same, "left_semi").groupBy(*own, "__value").agg(F.count(F.lit(1)).alias(name))
-    first = _first(counts, own, k, name)
+    first = checkpointed(_first(counts, own, k, name))  # k rows of each group
     # of each group: how frequent its last value is, or 0 if there are fewer than k
     last = first.groupBy(*own).agg(F.when(F.count(F.lit(1)) >= k, F.min(name)).otherwise(0).alias("__last"))
     groups = found.select(*own, "__all")

@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 
 #: Entries of a theta sketch as a power of two; the parameter of KLL sketches and the rank error that goes with it (99 % of the time).
 LG_K, KLL_K, RANK_ERROR = 12, 400, 0.007
+#: Tasks that merge the sketches of a group before one merges theirs.
+SIDES = 64
+
+
+def _by_sides(df: DataFrame, keys: Sequence[str], of_rows: Sequence[Column], of_parts: Sequence[Column]) -> DataFrame:
+    """Aggregates of each group in two steps: tasks merge a few sides of it side by side, so none gets what every task of a large table has."""
+    sides = df.withColumn("__side", F.pmod(F.spark_partition_id(), F.lit(SIDES))).groupBy(*keys, "__side").agg(*of_rows)
+    return sides.groupBy(*keys).agg(*of_parts)
 
 
 def _text(column: str) -> Column:
@@ -26,7 +34,8 @@ def _text(column: str) -> Column:
 
 def distinct_sketches(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lg_k: int = LG_K) -> DataFrame:
     """(keys, s_<column>...): a theta sketch of each column's values in each group, to be stored and merged."""
-    return df.groupBy(*keys).agg(*[F.theta_sketch_agg(_text(c), lg_k).alias(f"s_{c}") for c in columns])
+    own = [F.theta_sketch_agg(_text(c), lg_k).alias(f"s_{c}") for c in columns]
+    return _by_sides(df, keys, own, [F.theta_union_agg(f"s_{c}", lg_k).alias(f"s_{c}") for c in columns])
 
 
 def merged(sketches: DataFrame, keys: Sequence[str], columns: Sequence[str], lg_k: int = LG_K) -> DataFrame:
@@ -73,12 +82,17 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
 def quantile_sketches(df: DataFrame, keys: Sequence[str], column: str, k: int = KLL_K) -> DataFrame:
     """(keys, n, least, most, sketch) of a numeric column in each group, to be stored and merged."""
     x = F.col(f"`{column}`").cast("double")
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+    own = [F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch")]
+    return _by_sides(df, keys, own, _merged_quantiles(k))
+
+
+def _merged_quantiles(k: int) -> list[Column]:
+    return [F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch")]
 
 
 def merged_quantiles(sketches: DataFrame, keys: Sequence[str], k: int = KLL_K) -> DataFrame:
     """Stored sketches merged for coarser groups; no keys: for all."""
-    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return sketches.groupBy(*keys).agg(*_merged_quantiles(k))
 
 
 def quantiles(sketches: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
