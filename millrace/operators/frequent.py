@@ -31,7 +31,8 @@ def most_frequent(df: DataFrame, column: str, k: int, keys: Sequence[str] = (),
     own = [f"__{c}" for c in keys]
     rows = df.filter(F.col(column).isNotNull()).select(*[F.col(c).alias(o) for c, o in zip(keys, own)], F.col(column).alias("__value"))
     sides = rows.withColumn("__side", F.pmod(F.spark_partition_id(), F.lit(SIDES))).groupBy(*own, "__side").agg(F.count(F.lit(1)).alias("__n"), F.call_function("approx_top_k_accumulate", F.col("__value"), F.lit(tracked)).alias("__state"))
-    parts = sides.groupBy(*own).agg(F.sum("__n").alias("__all"), F.call_function("approx_top_k_combine", F.col("__state"), F.lit(tracked)).alias("__state"))
+    # without rows there is no summary to merge, so all rows are a group of their own here
+    parts = sides.withColumn("__one", F.lit(1)).groupBy(*own, "__one").agg(F.sum("__n").alias("__all"), F.call_function("approx_top_k_combine", F.col("__state"), F.lit(tracked)).alias("__state"))
     # a row of bounded size for each group, used three times
     found = checkpointed(parts.select(*own, F.coalesce("__all", F.lit(0)).alias("__all"), F.call_function("approx_top_k_estimate", F.col("__state"), F.lit(tracked)).alias("__items")))
     # at most ``tracked`` items of each group; the planner sends them to all tasks where that is few
