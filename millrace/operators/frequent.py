@@ -21,6 +21,8 @@ from millrace.sources import checkpointed
 TRACKED, MISSED = 1 << 16, 2 * 3.5 * 3 / 4
 #: Tasks that merge the summaries of a group side by side before one merges theirs.
 SIDES = 64
+#: Survivors that are sent to every task at most.
+SENT = 500_000
 
 
 def most_frequent(df: DataFrame, column: str, k: int, keys: Sequence[str] = (), tracked: int = TRACKED, name: str = "n") -> DataFrame:
@@ -35,12 +37,13 @@ def most_frequent(df: DataFrame, column: str, k: int, keys: Sequence[str] = (),
     parts = sides.withColumn("__one", F.lit(1)).groupBy(*own, "__one").agg(F.sum("__n").alias("__all"), F.call_function("approx_top_k_combine", F.col("__state"), F.lit(tracked)).alias("__state"))
     # a row of bounded size for each group, used three times
     found = checkpointed(parts.select(*own, F.coalesce("__all", F.lit(0)).alias("__all"), F.call_function("approx_top_k_estimate", F.col("__state"), F.lit(tracked)).alias("__items")))
-    # at most ``tracked`` items of each group; the planner sends them to all tasks where that is few
-    kept = found.select(*[F.col(o).alias(f"{o}_") for o in own], "__all", F.explode("__items.item").alias("__item"))
+    kept = found.select(*[F.col(o).alias(f"{o}_") for o in own], F.explode("__items.item").alias("__item"))
+    # at most ``tracked`` items of each group; with many groups the join is left to the planner
+    kept = F.broadcast(kept) if (found.agg(F.sum(F.size("__items"))).first()[0] or 0) <= SENT else kept
     same = F.col("__value") == F.col("__item")
     for o in own:
         same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
-    counts = rows.join(kept.drop("__all"), same, "left_semi").groupBy(*own, "__value").agg(F.count(F.lit(1)).alias(name))
+    counts = rows.join(kept, same, "left_semi").groupBy(*own, "__value").agg(F.count(F.lit(1)).alias(name))
     first = checkpointed(_first(counts, own, k, name))  # k rows of each group
     # of each group: how frequent its last value is, or 0 if there are fewer than k
     last = first.groupBy(*own).agg(F.when(F.count(F.lit(1)) >= k, F.min(name)).otherwise(0).alias("__last"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import sentiment
 
+#: Entries of a lexicon that may stand in the plan and be sent to every task.
+FEW = 10_000
+
 
 def _split(text: Column, pattern: str) -> Column:
     return F.filter(F.split(F.lower(text), pattern), lambda x: x != "")
@@ -40,10 +43,19 @@ def leftmost_longest(matches: Column) -> Column:
 def matches(df: DataFrame, key: str, text: str, lexicon: DataFrame, pattern: str = r"[^\p{L}]+") -> DataFrame:
     """(key, n, taken): of each text with an entry the number of its words and its entries in order, structs (at, length, valence)."""
     known = entries(lexicon, pattern)
+    few = known.limit(FEW + 1).collect()
     longest = known.agg(F.max(F.size("rest"))).first()[0] or 0
     rows = df.select(key, F.monotonically_increasing_id().alias("__row"), _split(F.col(text), pattern).alias("__w"))
     following = lambda i: F.slice("__w", i + 2, F.lit(longest)) if longest else F.array().cast("array<string>")
-    places = F.transform("__w", lambda w, i: F.struct(w.alias("head"), i.alias("at"), following(i).alias("next")))
+    place = lambda i: F.struct(F.get("__w", i).alias("head"), i.alias("at"), following(i).alias("next"))
+    if len(few) <= FEW:
+        # only places where an entry can begin become rows, and the entries go to all tasks
+        known = F.broadcast(df.sparkSession.createDataFrame(few, known.schema))
+        heads = sorted({r["head"] for r in few})
+        at = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull()) if heads else F.array().cast("array<int>")
+        places = F.transform(at, place)
+    else:
+        places = F.transform("__w", lambda _, i: place(i))
     words = rows.select(key, "__row", F.size("__w").alias("__n"), F.explode(places).alias("p")).select(key, "__row", "__n", "p.*")
     met = words.join(known, "head").filter(F.slice("next", F.lit(1), F.size("rest")) == F.col("rest"))
     best = F.max(F.struct((F.size("rest") + 1).alias("length"), F.col("valence").cast("double").alias("valence"))).alias("m")

@@ -158,7 +158,9 @@ def plain_matches(text, lexicon):
     return len(words), out
 
 
-def test_phrases_that_overlap(spark):
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_phrases_that_overlap(spark, monkeypatch, few):
+    monkeypatch.setattr(phrases, "FEW", few)  # in the plan or in a table
     rng = random.Random(8)
     texts = ["a b a b c", "a b c", "c c c c", "A-b. A", "", None, "d d", "b c a c"] + [" ".join(rng.choice("abcd") for _ in range(rng.choice([1, 4, 30]))) for _ in range(200)]
     lexicon = spark.createDataFrame(LEXICON, "token string, valence double")
