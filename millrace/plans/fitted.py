@@ -78,16 +78,16 @@ def text_phrase_score(t):
 
 @query(
     f"""WITH d AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents),
-f AS (SELECT DISTINCT array_to_string(w[k : k + 2], ' ') AS phrase, len(w[k : k + 2]) AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+f AS (SELECT DISTINCT array_to_string(w[k : k + 1], ' ') AS phrase, len(w[k : k + 1]) AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM d)),
 m AS (SELECT phrase, n, unnest(regexp_extract_all(' ' || replace(phrase, ' ', '  ') || ' ', '{_PATTERN}', 1)) AS token FROM f),
 h AS (SELECT phrase, count(*) AS n_hits, sum(valence) AS total, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0 END) AS m,
   max(n) - sum(len(string_split(token, '  ')) - 1) - count(*) FILTER (valence <> 0) AS z FROM m JOIN {_ENTRIES} USING (token) GROUP BY phrase)
 SELECT phrase, n_hits, round(total, 6) AS total, round(m / (p + m + z), 3) AS neg, round(z / (p + m + z), 3) AS neu, round(p / (p + m + z), 3) AS pos, round(total / sqrt(total * total + 15), 4) AS compound FROM h"""
 )
 def text_phrase_probe(t):
-    """Every run of three words of the texts, and what it would score on its own."""
+    """Every run of two words of the texts, and what it would score on its own."""
     words = t.documents.select(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "").alias("w"))
-    runs = words.select(F.explode(F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, F.lit(3)), " "))).alias("phrase"))
+    runs = words.select(F.explode(F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, F.lit(2)), " "))).alias("phrase"))
     return phrases.probe(runs, "phrase", t.spark.createDataFrame(PHRASES, "token string, valence double"))
 
 
