@@ -36,7 +36,7 @@ POSITIVES, NEGATIVES = 5, 3
 #: Percent of the positive's score between which a negative's lies, ends included.
 LOW, HIGH = 50, 95
 #: Rows of a tree (bounds), rows of a leaf, boxes below a box, anchors of a cell.
-TREE, LEAF, FANOUT, ANCHORS = (1024, 32_768), 128, 8, 8192
+TREE, LEAF, FANOUT, ANCHORS = (1024, 32_768), 512, 8, 8192
 _LIMIT = float(1 << 62)
 
 
@@ -117,39 +117,46 @@ class _Best:
         own = -self.rows[-1][0] if len(self.rows) == self.k else None
         return -np.inf if own is None and self.low is None else max(x for x in (own, self.low) if x is not None)
 
-    def add(self, scores: np.ndarray, tree: Tree, start: int, but: tuple[int, np.ndarray] | None) -> None:
-        fit = scores >= self.floor
-        if self.high is not None:
-            fit &= scores <= self.high
-        for k in np.flatnonzero(fit).tolist():
-            row = start + k
-            if but is not None and tree.known[row] and tree.ids[row] == but[0] and np.array_equal(tree.vecs[row], but[1]):
-                continue  # the anchor itself
-            self.rows.append((-int(scores[k]), not tree.known[row], int(tree.ids[row])))
-        self.rows = sorted(self.rows)[: self.k]
-
-
-def search(tree: Tree, query: np.ndarray, least: list[np.ndarray], most: list[np.ndarray], own: bool, label: int, windows: list[_Best], exact: bool, but: tuple[int, np.ndarray] | None = None) -> None:
-    """Fills the windows with the rows of the label (``own``), or of the others; least, most: the query's bounds for the boxes of each level."""
-    top = len(tree.levels) - 1
+    def add(self, rows: list[tuple[int, bool, int]]) -> None:
+        """Takes (-score, unknown, id) of rows, those that don't fit left out."""
+        floor, high = self.floor, self.high
+        self.rows = sorted([*self.rows, *(r for r in rows if -r[0] >= floor and (high is None or -r[0] <= high))])[: self.k]
+
+
+def search(tree: Tree, query: np.ndarray, least: list[np.ndarray], most: list[np.ndarray], own: bool, label: int, windows: list[_Best], exact: bool, but: tuple[int, np.ndarray] | None = None) -> int:
+    """Fills the windows with the rows of the label (``own``), or of the others, and returns the number of leaves that it opened.
+
+    least, most: the query's bounds for the boxes of each level; but: id and vector of a row that is left out.
+    """
+    top, opened = len(tree.levels) - 1, 0
     queue = [(-most[top][0], top, 0)]
+    high = None if any(w.high is None for w in windows) else max(w.high for w in windows)
+    floors = [w.floor for w in windows]
+    floor = min(floors)
     while queue:
         bound, level, box = heapq.heappop(queue)
-        floors = [w.floor for w in windows]
-        if -bound < min(floors):
-            return  # no box left reaches any window
-        if not any(-bound >= f and (w.high is None or least[level][box] <= w.high) for f, w in zip(floors, windows)):
-            continue
+        if -bound < floor:
+            break  # no box left reaches any window
         if level:
-            for child in range(box * FANOUT, min((box + 1) * FANOUT, len(most[level - 1]))):
-                heapq.heappush(queue, (-most[level - 1][child], level - 1, child))
-        elif (tree.labels[box] == label) == own:
-            start, end = tree.first[box], tree.first[box + 1]
-            rows = tree.vecs[start:end]
-            scores = (rows @ query).astype(np.int64) if exact else rows.astype(np.int64) @ query.astype(np.int64)
-            for w in windows:
-                if scores.max() >= w.floor:
-                    w.add(scores, tree, start, but)
+            first, last = box * FANOUT, min((box + 1) * FANOUT, len(most[level - 1]))
+            for child, reach in enumerate(most[level - 1][first:last].tolist(), first):
+                if reach >= floor:
+                    heapq.heappush(queue, (-reach, level - 1, child))
+        elif (tree.labels[box] == label) == own and any(-bound >= f and (w.high is None or least[0][box] <= w.high) for f, w in zip(floors, windows)):
+            opened += 1
+            start = tree.first[box]
+            rows = tree.vecs[start : tree.first[box + 1]]
+            scores = rows @ query if exact else rows.astype(np.int64) @ query.astype(np.int64)
+            fit = scores >= floor
+            if high is not None:
+                fit &= scores <= high
+            found = [(-int(scores[k]), not tree.known[start + k], int(tree.ids[start + k])) for k in np.flatnonzero(fit).tolist() if but is None or not (tree.known[start + k] and tree.ids[start + k] == but[0] and np.array_equal(rows[k], but[1]))]
+            if found:
+                for w in windows:
+                    w.add(found)
+                floors = [w.floor for w in windows]
+                floor = min(floors)
+    return opened
 
 
 _TREE = "tree long, labels array<long>, first array<int>, ids array<long>, vecs binary, least long, most long"
@@ -161,7 +168,7 @@ def trees(rows: DataFrame, width: int, sizes: tuple[int, int] = TREE, leaf: int
     kept = stored(rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= keep).drop("copy"), "vectors")
     spread = kept.select(F.posexplode("vec").alias("axis", "x")).groupBy("axis").agg(F.var_pop("x").alias("v")).orderBy(F.desc("v"), "axis").first()
     n = kept.count()
-    size = int(min(max(n / (3 * partitions(kept.sparkSession)), sizes[0]), sizes[1]))
+    size = int(min(max(n / partitions(kept.sparkSession), sizes[0]), sizes[1]))
     order = ["label", *([F.col("vec")[spread["axis"]]] if spread else []), F.xxhash64("id", "vec"), "id"]
 
     def tree(at: int, table: pa.Table) -> pa.RecordBatch:

@@ -152,19 +152,19 @@ def test_bounds_hold_and_are_met():
     assert (least[:, 0] == (queries @ corners.T).min(axis=1)).all() and (most[:, 0] == (queries @ corners.T).max(axis=1)).all()
 
 
-def test_search_opens_few_boxes(monkeypatch):
+def test_search_opens_few_boxes():
     """On clustered vectors the queue leaves most leaves closed."""
     rng = np.random.default_rng(10)
     centres = rng.normal(size=(64, 6)) * 400
     vecs = np.round(np.repeat(centres, 200, axis=0) + rng.normal(size=(12_800, 6)) * 5).astype(np.int64)
-    order, first = negatives.packed_order(vecs, np.zeros(len(vecs), np.int64))
+    order, first = negatives.packed_order(vecs, np.zeros(len(vecs), np.int64), leaf=128)
     tree = negatives.tree_of(order, np.ones(len(vecs), bool), vecs[order], first, np.zeros(len(first) - 1, np.int64))
-    opened = []
-    add = negatives._Best.add
-    monkeypatch.setattr(negatives._Best, "add", lambda self, *a: opened.append(1) or add(self, *a))
     both = [negatives.bounds(vecs[:1], low, high) for low, high in tree.levels]
     best = negatives._Best(5)
-    negatives.search(tree, vecs[0], [x[0][0] for x in both], [x[1][0] for x in both], True, 0, [best], False)
+    opened = negatives.search(tree, vecs[0], [x[0][0] for x in both], [x[1][0] for x in both], True, 0, [best], False)
     scores = vecs @ vecs[0]
     assert [-r[0] for r in best.rows] == sorted(scores.tolist(), reverse=True)[:5]
-    assert len(opened) <= 0.2 * (len(first) - 1)
+    assert opened <= 0.2 * (len(first) - 1)
+    # windows below what any box can reach, or above it, open none
+    for low, high in ((int(scores.max()) + 10**8, 1 << 40), (-(1 << 40), int(scores.min()) - 10**8)):
+        assert negatives.search(tree, vecs[0], [x[0][0] for x in both], [x[1][0] for x in both], True, 0, [negatives._Best(3, low, high)], False) == 0
