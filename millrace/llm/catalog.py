@@ -58,9 +58,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = ranking.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
+    counts = ranking.counted(docs)
+    model = ranking.fit_counted(counts, labels.filter(remainder("doc_id", 4) != 2))
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    return ranking.apply(docs, model, at=0.7).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return ranking.apply_counted(counts, model, at=0.7).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

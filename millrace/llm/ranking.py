@@ -2,13 +2,11 @@
 
 Each preference pair holds a good and a bad document; the chance that the first wins is the logistic of the difference of
 their scores, and scores are linear in features, so weights are a logistic regression without intercept on feature
-differences, fitted by Spark.  The threshold is the quantile of the scores that leaves as many documents below as bear
-the bad label; scores are moved so that this quantile is ``at`` on the logistic scale.
+differences.  The threshold is the quantile of the scores that leaves as many documents below as bear the bad label; scores
+are moved so that this quantile is ``at`` on the logistic scale.
 
-Fitting sees ``most`` labelled documents at most (chosen by hash) and about ``pairs`` pairs; good and bad documents of
-one hash bucket meet, and the number of buckets keeps the number of pairs bounded.
-
-Cuts of the features are quantiles of the labelled sample.
+Fitting sees every labelled document and counts every pair of a good and a bad one (``pairwise``, which needs no row for a
+pair).  Cuts of the features and the threshold are exact quantiles of all labelled documents.
 
 Defined cases: null and empty texts are scored as a text of no words; texts of any length are counted whole; without labels
 or with one kind only every score is ``at``; equal texts have equal scores, whatever their ids; null ids stay and are never
@@ -19,24 +17,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.labelled import sample
+from millrace.llm import pairwise
+from millrace.llm.quantiles import quantiles
 from millrace.llm.scratch import stored
-from millrace.llm.statistics import ratios, with_counts
+from millrace.llm.statistics import COUNTS, ratios, with_counts
 
-MOST, PAIRS = 16_384, 200_000
-#: Where the sample's ratios are cut.
+#: Where the ratios of the labelled documents are cut.
 QUANTILES = (0.5, 0.75, 0.9, 0.97)
 
 
 def cuts_of(rows: DataFrame) -> dict[str, list[float]]:
-    """The distinct QUANTILES of each ratio over ``rows`` (a bounded sample)."""
-    found = rows.agg(*[F.percentile(c.cast("double"), F.array(*map(F.lit, QUANTILES))).alias(k) for k, c in ratios().items()]).first()
-    return {k: sorted(set(found[k] or ())) for k in ratios()}
+    """The distinct QUANTILES of each ratio over ``rows``."""
+    return {k: sorted(set(v)) for k, v in quantiles(rows.select(*[c.cast("double").alias(k) for k, c in ratios().items()]), QUANTILES).items()}
 
 
 def features(cuts: dict[str, list[float]]) -> list[Column]:
@@ -61,35 +57,45 @@ class Ranking:
         return 1 / (1 + F.exp(-(self.raw() - F.lit(self.threshold)) - F.lit(math.log(at / (1 - at)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST, pairs: int = PAIRS) -> Ranking:
-    rows = stored(with_counts(sample(docs, labels, label, most), "doc_id", "label"), "counted")
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash of the text, counts) of all documents, stored: fitting and scoring read these and no texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return stored(with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")), "doc_id", "hash"), "counted")
+
+
+def labelled(counts: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(counts, label int) of every id with a label, stored.
+
+    A document with several labels takes the largest, and of several documents with one id the one whose text has the least
+    hash counts, so an id on very many rows is one row here.  Null ids and labels are left out.
+    """
+    given = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    own = counts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("hash", *COUNTS)).alias("x"))
+    return stored(own.join(given, "doc_id").select(*[F.col("x")[c].alias(c) for c in COUNTS], "label"), "labelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking:
+    return fit_counted(counted(docs), labels, label)
+
+
+def fit_counted(counts: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking:
+    rows = labelled(counts, labels, label)
     cuts = cuts_of(rows)
-    held = rows.select("doc_id", "label", F.array(*features(cuts)).alias("x"))
-    n = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     good, bad = n.get(1, 0), n.get(0, 0)
     if not good or not bad:
         return Ranking(cuts, [0.0] * len(features(cuts)), 0.0)
-    buckets = max(1, math.ceil(good * bad / pairs))
-    buckets = min(buckets, bad)
-    keyed = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)))
-    won = keyed.filter("label = 1").select("bucket", F.col("x").alias("a"), F.col("doc_id").alias("i"))
-    lost = keyed.filter("label = 0").select("bucket", F.col("x").alias("b"), F.col("doc_id").alias("j"))
-    # either side is part of the bounded sample; which of the two comes first is a coin, so both outcomes occur
-    met = won.join(F.broadcast(lost), "bucket").withColumn("label", F.pmod(F.xxhash64("i", "j"), F.lit(2)).cast("double"))
-    sign = 2 * F.col("label") - 1
-    differences = met.select("label", array_to_vector(F.zip_with("a", "b", lambda p, q: sign * (p - q))).alias("features")).repartition(4).cache()
-    model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-4, maxIter=60).fit(differences)
-    differences.unpersist()
-    weights = [float(w) for w in model.coefficients]
-    total = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b)
-    scores = held.select(total.alias("s"), "label")
+    weights = pairwise.fit(rows.select("label", F.array(*features(cuts)).alias("x"))).tolist()
+    scores = stored(rows.select(Ranking(cuts, weights, 0.0).raw().alias("s")), "scores")
     # between the classes' neighbours at that quantile: the cut itself lies between two scores
     share = bad / (good + bad)
-    low, high = scores.agg(F.percentile("s", F.lit(max(0.0, share - 0.5 / (good + bad)))), F.percentile("s", F.lit(min(1.0, share + 0.5 / (good + bad))))).first()
-    return Ranking(cuts, weights, (low + high) / 2)
+    return Ranking(cuts, weights, float(np.mean(quantiles(scores, [max(0.0, share - 0.5 / (good + bad)), min(1.0, share + 0.5 / (good + bad))])["s"])))
 
 
 def apply(docs: DataFrame, ranking: Ranking, at: float = 0.7) -> DataFrame:
     """(doc_id, raw, score): the Bradley-Terry score, and moved to the logistic scale with the threshold at ``at``."""
-    rows = with_counts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    return rows.select("doc_id", ranking.raw().alias("raw"), ranking.score(at).alias("score"))
+    return apply_counted(with_counts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), ranking, at)
+
+
+def apply_counted(counts: DataFrame, ranking: Ranking, at: float = 0.7) -> DataFrame:
+    return counts.select("doc_id", ranking.raw().alias("raw"), ranking.score(at).alias("score"))
