@@ -6,8 +6,8 @@ of two passes each.  The first counts the rows of either kind in bins of the sco
 the logistic over all rows of the other kind and its slope.  The second goes over all rows with these sums: a row's part in the
 gradient is its own sum, taken at its own score, times its features.
 
-A bin is ``WIDTH`` wide and counts at the mean of its scores, so a pair's chance is off by less than 1e-5.  Where scores lie so far apart
-that more than ``BINS`` bins hold rows, bins are widened, and all rows are counted still.
+A bin is ``WIDTH`` wide and counts at the mean of its scores, so the mean chance of a row against the rows of a bin is off by less than
+1e-5.  Where scores lie so far apart that more than ``BINS`` bins hold rows, bins are widened and this is coarser; all rows are counted still.
 """
 
 from __future__ import annotations

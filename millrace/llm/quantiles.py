@@ -48,7 +48,8 @@ def quantiles(df: DataFrame, shares: Sequence[float]) -> dict[str, list[float]]:
     n = ends["n"]
     if not n:
         return {c: [] for c in names}
-    places = [share * (n - 1) for share in shares]
+    # a rank that misses a whole number by rounding alone is that number
+    places = [round(p) if abs(p - round(p)) < 1e-6 else p for p in (share * (n - 1) for share in shares)]
     # of each wanted (column, rank): the interval that holds it and how many values come before
     at = {(c, rank): (ends[f"low_{i}"], ends[f"high_{i}"], 0) for i, c in enumerate(names) for p in places for rank in (math.floor(p), math.ceil(p))}
     while wide := sorted({(c, low, high) for (c, _), (low, high, _) in at.items() if low < high}):

@@ -36,6 +36,8 @@ def test_quantiles(spark):
     got = quantiles(df, shares)
     for name, values in (("ties", ties), ("wide", wide), ("same", np.full(5000, 2.5))):
         assert got[name] == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-9), name
+    # 0.57 * 100 is computed as a little less than 57
+    assert quantiles(spark.range(101).selectExpr("double(id) / 7 as x"), [0.57]) == {"x": [57 / 7]}
     assert quantiles(df.limit(0), shares) == {"ties": [], "wide": [], "same": []}
 
 
