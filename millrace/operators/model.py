@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.trees import Forest
+from millrace.operators.trees import fit as grown_forest
+
 
 def in_training(key: str, below: str = "cd") -> Column:
     """About 80 % of the keys, by a hash: the same however the rows are spread over partitions."""
@@ -19,23 +20,18 @@ def split_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.when(in_training(key), "train").otherwise("valid").alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(df: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestRegressionModel:
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df).select("features", F.col(target).cast("double").alias("label")).cache()
-    try:
-        # the node that each row has reached is kept, as deep trees are costly to send and to walk at every level
-        return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=depth, seed=seed, cacheNodeIds=True).fit(rows)
-    finally:
-        rows.unpersist()
+def fit(df: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 15, seed: int = 42) -> Forest:
+    return grown_forest(df, features, target, trees, depth, seed)
 
 
-def predict(df: DataFrame, model: RandomForestRegressionModel, features: Sequence[str]) -> DataFrame:
+def predict(df: DataFrame, model: Forest, features: Sequence[str]) -> DataFrame:
     """``df`` with a column ``prediction``: rows keep their keys, so nothing is matched by position."""
-    return model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(df)).drop("features")
+    return df.withColumn("prediction", model.column(df, features))
 
 
-def importances(df: DataFrame, model: RandomForestRegressionModel, features: Sequence[str], n: int = 15) -> DataFrame:
+def importances(df: DataFrame, model: Forest, features: Sequence[str], n: int = 15) -> DataFrame:
     """(feature, importance) of the most important features."""
-    pairs = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:n]
+    pairs = sorted(zip(features, model.shares.tolist()), key=lambda x: (-x[1], x[0]))[:n]
     return df.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
