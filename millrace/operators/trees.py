@@ -1,7 +1,7 @@
 """A regression forest grown on all rows of a table.
 
-Values are put in at most 32 bins by cuts that all rows decide, and rows with the same bins and label become one with a number.  How often
-a tree draws a row is Poisson-distributed and follows from a hash of the row, so a forest doesn't depend on how rows lie in partitions.
+Values are put in at most 32 bins by cuts at quantiles of all rows (to a quarter of a thousandth of them), and rows with the same bins and label
+become one with a number.  How often a tree draws a row is Poisson-distributed and follows from a hash of the row, not from its partition.
 A node with more rows than ``LOCAL`` allows is split by sums over all tasks; the rows of a smaller one go to one task, which grows the whole
 branch.  The driver sees sums of the split that each large node gets, and the trees, which depth bounds, whatever the rows.
 """
@@ -182,13 +182,17 @@ def _only(kept: np.ndarray, at: np.ndarray, binned: np.ndarray, *columns: np.nda
 
 def _cuts(rows: DataFrame, n: int) -> tuple[list[np.ndarray], float]:
     """(cuts of each of n features, a number near the labels' mean, the same in whatever order they are summed)."""
-    shares = F.array(*[F.lit(k / GRID) for k in range(1, GRID)])
-    own = [x for k in range(n) for x in (F.percentile_approx(f"x{k}", shares, 10 * GRID).alias(f"q{k}"), F.max(f"x{k}").alias(f"m{k}"), F.approx_count_distinct(f"x{k}").alias(f"d{k}"))]
+    own = [x for k in range(n) for x in (F.max(f"x{k}").alias(f"m{k}"), F.approx_count_distinct(f"x{k}").alias(f"d{k}"))]
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), *own).first()
     if not found.n:
         raise ValueError("no rows to fit")
-    few = [k for k in range(n) if found[f"d{k}"] <= 2 * BINS]
-    values = rows.agg(*[F.array_sort(F.collect_set(f"x{k}")).alias(f"x{k}") for k in few]).first().asDict() if few else {}
+    few = [f"x{k}" for k in range(n) if found[f"d{k}"] <= 2 * BINS]
+    values = rows.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in few]).first().asDict() if few else {}
+    many = [f"x{k}" for k in range(n) if not 0 < len(values.get(f"x{k}", [])) <= BINS]
+    grids = {}
+    if many:
+        shares = F.array(*[F.lit(k / GRID) for k in range(1, GRID)])
+        grids = rows.agg(*[F.percentile_approx(c, shares, 4 * GRID).alias(c) for c in many]).first().asDict()
     out = []
     for k in range(n):
         exact = np.array(values.get(f"x{k}", []), np.float64)
@@ -197,7 +201,7 @@ def _cuts(rows: DataFrame, n: int) -> tuple[list[np.ndarray], float]:
             middle = low / 2 + high / 2
             out.append(np.where((middle >= low) & (middle < high), middle, low))
         else:
-            out.append(_chosen(np.array(found[f"q{k}"] or [], np.float64), found[f"m{k}"], BINS - 1))
+            out.append(_chosen(np.array(grids[f"x{k}"] or [], np.float64), found[f"m{k}"], BINS - 1))
     return out, float(f"{found.mean:.6g}") if found.mean is not None else 0.0
 
 
