@@ -122,7 +122,7 @@ def shuffled(spark):
 
 
 #: Sums by bin of every node of every tree were 130 MB.
-FITTED = ["ml_importance_sum", "ml_importances"]
+FITTED = ["ml_importance_sum", "ml_importances", "ml_predict_join"]
 
 
 @pytest.mark.parametrize("name", FITTED)
