@@ -122,7 +122,7 @@ def shuffled(spark):
 
 
 #: Sums by bin of every node of every tree were 130 MB.
-FITTED = ["ml_importance_sum", "ml_importances", "ml_predict_join", "ml_predictions_file", "ml_residual_by_brand", "ml_residual_rank", "ml_rf_bound"]
+FITTED = ["ml_importance_sum", "ml_importances", "ml_predict_join", "ml_predictions_file", "ml_residual_by_brand", "ml_residual_rank", "ml_rf_bound", "ml_rf_eval"]
 
 
 @pytest.mark.parametrize("name", FITTED)
