@@ -367,7 +367,9 @@ def fit(df: DataFrame, features: Sequence[str], target: str, trees: int, depth:
                             else:
                                 roots.append((tree, at, level + 1))
             large, level = following, level + 1
-        for b in _branches(rows, roots, tops, level, n, mean, seed, depth).collect() if roots else []:
+        branches = _branches(rows, roots, tops, level, n, mean, seed, depth).collect() if roots else []
+        while branches:  # each goes as soon as its tree has it
+            b = branches.pop()
             tree, node, _ = roots[b.root]
             tops[tree] = _grafted(tops[tree], node, Tree(*[np.frombuffer(x, t) for x, t in ((b.feature, kind), (b.cut, np.uint8), (b.child, np.int32), (b.value, np.float64))]))
             gains[tree] += np.frombuffer(b.gains)
